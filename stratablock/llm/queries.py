@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratablock.llm import decontamination, mixing, sharding, topk
+from stratablock.llm import decontamination, mixing, secrets, sharding, simhash, topk
 from stratablock.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_decontamination": lambda spark, d: decontamination.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_sharding": lambda spark, d: sharding.document_shards(table(spark, d, "documents")),
+    "op5_secrets": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents")),
     "op8_topk": lambda spark, d: topk.top_k(table(spark, d, "embeddings")),
+    "op9_simhash": lambda spark, d: simhash.near_duplicate_digest(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
