@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratablock.llm import decontamination, language, mixing, secrets, sharding, simhash, topk, toxicity
+from stratablock.llm import decontamination, language, language_model, mixing, secrets, sharding, simhash, topk, toxicity
 from stratablock.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_language": lambda spark, d: language.language_digest(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.document_shards(table(spark, d, "documents")),
     "op5_secrets": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")),
+    "op6_lm_scoring": lambda spark, d: language_model.language_model_digest(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents")),
     "op8_topk": lambda spark, d: topk.top_k(table(spark, d, "embeddings")),
     "op9_simhash": lambda spark, d: simhash.near_duplicate_digest(table(spark, d, "documents")),
