@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratablock.llm import decontamination, language, language_model, mixing, secrets, sharding, simhash, topk, toxicity
+from stratablock.llm import decontamination, language, language_model, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from stratablock.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": lambda spark, d: decontamination.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op10_quality": lambda spark, d: quality.quality_digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_toxicity": lambda spark, d: toxicity.toxicity_digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_language": lambda spark, d: language.language_digest(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.document_shards(table(spark, d, "documents")),
