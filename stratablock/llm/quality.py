@@ -139,7 +139,7 @@ class ByteConvNet:
         rng = np.random.default_rng(seed)
         slow = {k: np.zeros_like(v) for k, v in self.p.items()}
         fast = {k: np.zeros_like(v) for k, v in self.p.items()}
-        steps = max(epochs, -(-150 * BATCH // len(rows)))  # few rows are seen more often
+        steps = max(epochs, -(-600 * BATCH // len(rows)))  # few rows are seen more often
         t, total = 0, steps * -(-len(rows) // BATCH)
         for _ in range(steps):
             order = rng.permutation(len(rows))
