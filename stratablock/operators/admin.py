@@ -19,7 +19,7 @@ def config_violations(config: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def prefix_contexts(contexts: DataFrame) -> DataFrame:
     """Pairs of context names of which one begins the other; the join is over prefixes of equal length, not over all pairs."""
-    longer = contexts.select(F.col("context").alias("longer"), F.explode(F.sequence(F.lit(1), F.length("context") - 1)).alias("n")).where("n > 0")
+    longer = contexts.where("length(context) > 1").select(F.col("context").alias("longer"), F.explode(F.sequence(F.lit(1), F.length("context") - 1)).alias("n"))
     return longer.withColumn("context", F.substring(F.col("longer"), F.lit(1), F.col("n"))).join(contexts.select("context"), "context").select("context", "longer")
 
 

@@ -133,7 +133,7 @@ def _(spark, d):
     return w.groupBy("generation").agg(F.count(F.lit(1)).alias("writes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.countDistinct("key").alias("keys"))
 
 
-@query("generation_by_time", f"WITH {OPS} SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS generation, count(*) AS writes FROM ops WHERE op = 'WRITE' GROUP BY 1")
+@query("generation_by_time", f"WITH {OPS} SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS generation, count(*) AS writes FROM ops WHERE op = 'WRITE' GROUP BY 1")
 def _(spark, d):
     return G.time_generations(_writes(spark, d), 3600).groupBy("generation").agg(F.count(F.lit(1)).alias("writes"))
 

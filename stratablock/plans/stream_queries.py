@@ -47,7 +47,7 @@ def _(spark, d):
     return run_to_end(S.rotate_by_count(_writes(spark, d), 100)).groupBy("store", "generation").agg(F.count(F.lit(1)).alias("writes"))
 
 
-@query("stream_time_rotation", f"WITH {OPS} SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS hour, count(*) AS writes, CAST(sum(cents) AS BIGINT) AS cents FROM ops WHERE op = 'WRITE' GROUP BY 1")
+@query("stream_time_rotation", f"WITH {OPS} SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS hour, count(*) AS writes, CAST(sum(cents) AS BIGINT) AS cents FROM ops WHERE op = 'WRITE' GROUP BY 1")
 def _(spark, d):
     out = run_to_end(S.rotate_by_time(S.timed(_writes(spark, d)), "1 hour"), "complete")
     return out.select(F.floor(F.unix_timestamp("start") / 3600).alias("hour"), "writes", "cents")

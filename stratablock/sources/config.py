@@ -29,7 +29,7 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
 def with_defaults(found: DataFrame, settings: list[Setting]) -> DataFrame:
     """name, value, origin (file, default or unmanaged) and error of all settings: managed ones are checked, others kept as they are."""
     spark = found.sparkSession
-    known = spark.createDataFrame([(s.name, s.kind, s.default, s.least, s.most) for s in settings], "name string, kind string, `default` string, least double, most double")
+    known = spark.createDataFrame([(s.name, s.kind, s.default, *(None if x is None else float(x) for x in (s.least, s.most))) for s in settings], "name string, kind string, `default` string, least double, most double")
     rows = found.join(known, "name", "full").withColumn("origin", F.when(F.col("kind").isNull(), "unmanaged").when(F.col("value").isNull(), "default").otherwise("file"))
     rows = rows.withColumn("value", F.coalesce("value", "default"))
     number = F.expr("try_cast(value AS double)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratablock.functions.columns import partition_of, path_of, persisted_key
 
-SIGNATURE = "_store.json"
+SIGNATURE = "store.json"
 
 
 class StoreError(ValueError):
