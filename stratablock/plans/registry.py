@@ -32,6 +32,8 @@ REPLICAS = """replicas AS (SELECT l_suppkey % 5 AS node, l_partkey AS file, l_li
 TREE = """tree AS (SELECT 'r' || r_regionkey AS uuid, NULL AS parent, 'root' AS kind, r_name AS name FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'snapshot', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'device', c_name FROM customer)"""
 
+ITEMS = TREE + """, items AS (SELECT *, kind = 'snapshot' AND length(name) % 3 = 0 AS deleted FROM tree)"""
+
 
 def xor_sql(hex_sql: str, n: int) -> str:
     return f"list_reduce(list_transform(range(0, {n}), lambda i: CAST('0x' || substring({hex_sql}, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER)), lambda a, b: xor(a, b))"
