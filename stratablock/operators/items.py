@@ -61,7 +61,7 @@ def classify(items: DataFrame, layers: DataFrame) -> DataFrame:
 def one_root(classified: DataFrame) -> DataFrame:
     """Fails while running if there isn't exactly one root."""
     n = classified.agg(F.count_if(F.col("role") == "ROOT").alias("roots"))
-    return n.select(F.assert_true(F.col("roots") == 1, "there must be exactly one root").alias("ok"), "roots").select("roots")
+    return n.select(F.when(F.col("roots") == 1, F.col("roots")).otherwise(F.raise_error("there must be exactly one root")).alias("roots"))
 
 
 def export_image(image: DataFrame, store: DataFrame, zero: str) -> DataFrame:
