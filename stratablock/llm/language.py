@@ -64,6 +64,12 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     small = known.where(F.octet_length("text") <= SAMPLE_DOC_BYTES)
     marked = small.select("lang", F.xxhash64(F.lit(ENGINE_SEED), "doc_id", "text").alias("h"))
+    counts = {r["lang"]: r["rows"] for r in marked.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    if not counts:
+        return {}
+    # About three times the rows that are kept pass by a bound on the hash, so no language's rows meet in one task.
+    bounds = F.create_map(*[F.lit(x) for name, rows in counts.items() for x in (name, int(min(1, 3 * SAMPLE_DOCS / rows) * (1 << 30)))])
+    marked = marked.where(F.pmod("h", F.lit(1 << 30)) < bounds[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("h")
     chosen = marked.withColumn("i", F.row_number().over(order)).where(F.col("i") <= SAMPLE_DOCS).select("h").distinct()
     picked = [r["h"] for r in chosen.collect()]
