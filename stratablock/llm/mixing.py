@@ -170,7 +170,8 @@ def cube_copies(docs: DataFrame, key: str = "doc_id", seed: int = ENGINE_SEED, b
 
 def document_mix(docs: DataFrame, seed: int = ENGINE_SEED) -> DataFrame:
     """Digest of the mix of documents: doc_id, size, source_size, target, taken."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Written out, as sizes are read for the targets and again for the flight.
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return cube_copies(sized, "doc_id", seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -182,7 +183,7 @@ def mix_documents(docs: DataFrame, seed: int = ENGINE_SEED) -> DataFrame:
     docs = without(docs, "__row", "__copies")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumn("__row", F.xxhash64(*plain))
-    sized = keyed.select(F.col("__row"), "source", word_count(F.col("text")).alias("size"))
+    sized = materialize(keyed.select(F.col("__row"), "source", word_count(F.col("text")).alias("size")), "sizes")
     taken = cube_copies(sized, "__row", seed).groupBy("__row").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
     return (
         keyed.dropDuplicates(["__row"])
