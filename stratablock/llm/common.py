@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
     global _local_dir
     if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="stratablock-")
+        made = tempfile.mkdtemp(prefix="stratablock-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _local_dir = f"file://{made}"
     return _local_dir
 
 
@@ -40,7 +45,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def forget(step: DataFrame) -> None:
+    """Delete the files of a materialised step that nothing reads any more; other DataFrames are left alone."""
+    if path := _paths.pop(step, None):
+        spark = step.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import materialize
+from stratablock.llm.common import forget, materialize
 
 SHINGLE, MOST, XX_SEED = 4, 4, 42
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -190,7 +190,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "stars")
+        before, now = now, materialize(small, "stars")
+        forget(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
