@@ -13,7 +13,7 @@ def dedup_summary(blocks: DataFrame, *by: str) -> DataFrame:
     per_key = blocks.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
     volumes = blocks.groupBy(*by, "volume").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count(F.lit(1)).alias("volumes"))
     out = per_key.groupBy(*by).agg(F.sum("n").alias("total_blocks"), F.count(F.lit(1)).alias("distinct_blocks"))
-    out = out.join(volumes, list(by)) if by else out.crossJoin(F.broadcast(volumes))  # one row each
+    out = out.join(volumes, list(by)) if by else out.withColumn("volumes", volumes.scalar())
     return out.withColumn("duplicate_blocks", F.col("total_blocks") - F.col("distinct_blocks"))
 
 

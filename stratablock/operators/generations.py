@@ -46,7 +46,7 @@ def search_and_increment(hot: DataFrame, keys: DataFrame) -> DataFrame:
 def promotion_candidates(hot: DataFrame, cold: DataFrame, keep: int = HOT_MOST) -> DataFrame:
     """Keys of all but the newest `keep` generations that live (count above 0) and that cold lacks, with their oldest generation."""
     newest = hot.agg(F.max("generation").alias("newest"))
-    old = hot.crossJoin(F.broadcast(newest)).where(F.col("generation") <= F.col("newest") - keep)  # newest is one row
+    old = hot.where(F.col("generation") <= newest.scalar() - keep)
     return old.where("refcnt > 0").join(cold.select("key"), "key", "left_anti").groupBy("key").agg(F.min("generation").alias("generation"), F.sum("refcnt").alias("refcnt"))
 
 
