@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from stratablock.llm.common import ENGINE_SEED, json_rows, without
 
-#: A block is sorted by one task. The number of blocks is bounded, as the matrix lives on the driver.
-ROWS_PER_BLOCK = 500_000
-BLOCKS = (64, 8192)
+#: A block is sorted by one task, so it is small while it can be. The number of blocks is bounded, as the matrix lives
+#: on the driver.
+ROWS_PER_BLOCK = 2_000
+BLOCKS = (64, 32_768)
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -78,7 +79,7 @@ def shuffle_into_shards(
     shard_rows = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([counts[b] for b in order], shard_rows, seed)
     cuts = [{"__b": b, "__cuts": np.cumsum(row).tolist()} for b, row in zip(order, matrix, strict=True)]
-    # At most 8192 blocks of `shards` numbers.
+    # At most 32768 blocks of `shards` numbers.
     deal = F.broadcast(json_rows(spark, json.dumps(cuts), "struct<__b:int,__cuts:array<bigint>>"))
 
     local = Window.partitionBy("__b").orderBy("__h", "__g")
