@@ -42,23 +42,32 @@ _local_dir: str | None = None
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
+    """Write df to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor.
+
+    The files go when `forget` is called or the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    fs, at = _file_system(df.sparkSession, path)
+    fs.deleteOnExit(at)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def forget(step: DataFrame) -> None:
     """Delete the files of a materialised step that nothing reads any more; other DataFrames are left alone."""
     if path := _paths.pop(step, None):
-        spark = step.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(step.sparkSession, path)
+        fs.delete(at, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
