@@ -23,9 +23,16 @@ def _byte(hex_string: Column, i: Column) -> Column:
 
 
 def xor_bytes(hex_string: Column) -> Column:
-    """XOR of the bytes of a hex string."""
-    n = (F.length(hex_string) / 2).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a.bitwiseXOR(_byte(hex_string, i)))
+    """XOR of the bytes of a hex string: of words of four bytes first, then of the bytes of their XOR."""
+    words = F.ceil(F.length(hex_string) / 8).cast("int")
+    padded = F.lpad(hex_string, words * 8, F.lit("0"))
+    word = lambda i: F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+
+    def fold(x: Column) -> Column:
+        x = x.bitwiseXOR(F.shiftright(x, 16))
+        return x.bitwiseXOR(F.shiftright(x, 8)).bitwiseAND(F.lit(255)).cast("int")
+
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(word(i)), fold)
 
 
 def digest(algorithm: str, data: Column) -> Column:
