@@ -17,27 +17,41 @@ SHARDS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects."""
+    """Drops the documents that language identification rejects.
+
+    Null, empty and letterless texts and narrow margins are rejected; without labelled rows to learn from, all are.
+    Repeated rows stay or go together. Long texts count whole. An empty table stays empty.
+    """
     return language.drop_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that of the least doc_id (null ids last), repeated rows once.
+
+    Null, empty and wordless texts form one group. An empty table stays empty.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of the benchmark."""
+    """Drops the documents that hold a window of the benchmark.
+
+    Null, empty and wordless texts stay, as does everything if the benchmark is empty. Repeated rows stay or go together.
+    """
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document up to three times, so that sources have their target weights."""
+    """Takes each document up to three times, so that sources have their target weights.
+
+    Null sources are one source. Null and empty texts have no words and are drawn like others. Repeated rows share
+    their copies. Reruns agree.
+    """
     return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shuffles the documents into shards of equal numbers of rows."""
+    """Shuffles the documents into shards of equal numbers of rows (at most one apart), with nulls and repeated rows like any."""
     return sharding.shuffle_into_shards(docs, SHARDS)
 
 
