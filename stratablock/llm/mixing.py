@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import ENGINE_SEED, materialize, without
+from stratablock.llm.common import ENGINE_SEED, materialize
 
 #: Documents that one flight handles.
 BLOCK = 4096
@@ -180,14 +180,13 @@ def mix_documents(docs: DataFrame, seed: int = ENGINE_SEED) -> DataFrame:
 
     Rows are known by a hash of all their columns; equal rows share their copies.
     """
-    docs = without(docs, "__row", "__copies")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = docs.withColumn("__row", F.xxhash64(*plain))
-    sized = materialize(keyed.select(F.col("__row"), "source", word_count(F.col("text")).alias("size")), "sizes")
-    taken = cube_copies(sized, "__row", seed).groupBy("__row").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "text", F.xxhash64(*plain).alias("key"))
+    sized = materialize(keyed.select("key", "source", word_count(F.col("text")).alias("size")), "sizes")
+    taken = cube_copies(sized, "key", seed).groupBy("key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     return (
-        keyed.dropDuplicates(["__row"])
-        .join(taken, "__row")
-        .withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+        keyed.select("key", "row").dropDuplicates(["key"])
+        .join(taken, "key")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("row.*")
+    )

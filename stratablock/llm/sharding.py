@@ -84,7 +84,7 @@ def shuffle_into_shards(
 
     local = Window.partitionBy("__b").orderBy("__h", "__g")
     dealt = (
-        df.withColumns({"__b": block, "__h": keyed(2), "__g": keyed(3)})
+        df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), block.alias("__b"), keyed(2).alias("__h"), keyed(3).alias("__g"))
         .withColumn("__r", F.row_number().over(local) - 1)
         .join(deal, "__b")
         .withColumn("shard", F.expr("size(filter(__cuts, c -> c <= __r))"))
@@ -100,7 +100,7 @@ def shuffle_into_shards(
         dealt.withColumn("__i", F.row_number().over(inner) - 1)
         .join(starts, ["shard", "__p"])
         .withColumn("slot", (F.col("__at") + F.col("__i")).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
+        .select("row.*", "shard", "slot")
     )
 
 

@@ -227,7 +227,8 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that of the least doc_id, among rows of one doc_id that of the least row hash."""
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = docs.withColumn("__row", F.xxhash64(*plain))
-    found = near_duplicates(keyed, keep=("__row",))
-    stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("s")).select(F.col("s.__row").alias("__row")).distinct()
-    return keyed.join(stays, "__row").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, "doc_id", "text", F.xxhash64(*plain).alias("key"))
+    found = near_duplicates(keyed, keep=("key",))
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("s")).select(F.col("s.key").alias("key")).distinct()
+    return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")

@@ -166,14 +166,15 @@ def test_top_k(spark):
 
 def test_clashing_names(odd, benchmark, labels):
     """Columns named as results or inner columns, in any case, and columns of other kinds."""
-    names = ("shard", "SLOT", "__b", "items", "score", "margin", "lang_pred", "secret_spans", "component", "__row_x")
+    names = ("shard", "SLOT", "__b", "items", "score", "margin", "lang_pred", "secret_spans", "component", "key", "row", "size", "copies", "source_size", "fp", "id", "h", "word")
     wide = odd.select("*", *[F.lit("mine").alias(n) for n in names], F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.array(F.struct(F.lit(1).alias("z"))).alias("deep"))
     kept = lambda df: {r["items"] for r in df.select("items").distinct().collect()}
     assert kept(decontamination.drop_contaminated(wide, benchmark)) == {"mine"}
     assert kept(language.drop_rejected(wide)) == {"mine"}
     assert kept(simhash.drop_near_duplicates(wide)) == {"mine"}
     assert kept(mixing.mix_documents(wide)) == {"mine"}
-    sharded = sharding.shuffle_into_shards(wide.drop("__b"))
+    sharded = sharding.shuffle_into_shards(wide)
+    assert {r["__b"] for r in sharded.select("__b").distinct().collect()} == {"mine"}
     assert dict(sharded.dtypes)["shard"] == "int" and [c.lower() for c in sharded.columns].count("slot") == 1
     assert secrets.find_secrets(wide).count() == len(odd_rows())
     assert toxicity.score_toxicity(wide, toxicity.ToxicityModel([])).count() == len(odd_rows())
