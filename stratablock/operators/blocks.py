@@ -42,9 +42,12 @@ def put_if_absent(new: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def put_flags(puts: DataFrame, *order: str) -> DataFrame:
-    """puts with is_new: true for the first put of a key; later ones only count. The first is found by an aggregate, so a hot key is no hot task."""
-    first = puts.groupBy("key").agg(F.min(F.struct(*order)).alias("first"))
-    return puts.join(first, "key").withColumn("is_new", F.struct(*order) == F.col("first")).drop("first")
+    """puts with is_new: true for the first put of a key; later ones only count.
+
+    The first is found by an aggregate, and joined by key and place: no task gets all puts of a hot key.
+    """
+    first = puts.groupBy("key").agg(F.min(F.struct(*order)).alias("first")).select("key", "first.*", F.lit(True).alias("is_new"))
+    return puts.join(first, ["key", *order], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 def refresh(puts: DataFrame, store: DataFrame) -> DataFrame:
