@@ -86,7 +86,8 @@ def _(spark, d):
 def _(spark, d):
     log = X.journal(spark, d)
     ended = log.where("op <> 'START'").select("tx_id")
-    rows = log.join(ended, "tx_id", "left_semi").withColumn("payload", F.col("tx_id").cast("string"))
+    # Transactions count from 1, order keys from 0.
+    rows = log.join(ended, "tx_id", "left_semi").withColumn("payload", (F.col("tx_id") + 1).cast("string"))
     return P.fold_journal(rows, P.Prepare()).groupBy("resource", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
