@@ -217,6 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ..
     named = linked.groupBy("root").agg(F.min("first").alias("named"))
     linked = linked.select("node", "root").join(named, "root").select("node", "named")
     labelled = per.join(linked, per["fp"] == linked["node"], "left").select("fp", F.coalesce("named", "first").alias("component"))
+    # Written out, so that both sides of the last join are plain shuffles and those of many copies can be split.
+    labelled = materialize(labelled, "labelled")
     return marked.join(labelled, "fp").select("id", *keep, "fp", "component")
 
 
