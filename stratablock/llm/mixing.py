@@ -140,7 +140,8 @@ def cube_copies(docs: DataFrame, key: str = "doc_id", seed: int = ENGINE_SEED, b
     rows: drawn on their own. Empty docs: no rows. Reruns agree: order and draws hang on hashes of key and size.
     """
     base = docs.select(F.col(f"`{key}`").alias("__k"), "source", "size")
-    goals = source_targets(base, most).withColumnRenamed("source", "__s")
+    # Written out, so that the join with them is between plain shuffles, of which those of a large source can be split.
+    goals = materialize(source_targets(base, most).withColumnRenamed("source", "__s"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     cut = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1)).cast("long")
     units = (
