@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratablock.functions.columns import ALLOCATED, TRIMMED
@@ -36,10 +36,16 @@ def image_at(deltas: DataFrame, epoch: int | None = None) -> DataFrame:
     return top.select("device", "block_index", F.col("x.epoch").alias("epoch"), F.col("x.state").alias("state"), F.col("x.key").alias("key"))
 
 
+def _recursive(spark: SparkSession, sql: str) -> DataFrame:
+    """A recursive query without the session's limit of a million rows, which is there for runaway recursion; ours ends by depth."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(sql)
+
+
 def lineage(layers: DataFrame, depth: int = 64) -> DataFrame:
     """device, layer, ancestor and depth (0: itself), by recursion over parents."""
     layers.createOrReplaceTempView("_layers")
-    return layers.sparkSession.sql(f"""
+    return _recursive(layers.sparkSession, f"""
         WITH RECURSIVE up(device, layer, ancestor, depth) MAX RECURSION LEVEL {depth} AS (
           SELECT device, layer, layer, 0 FROM _layers
           UNION ALL
@@ -76,7 +82,7 @@ def children(tree: DataFrame, kind: str) -> DataFrame:
 def descendants(tree: DataFrame, kind: str, depth: int = 16) -> DataFrame:
     """Each item with its descendants of a kind, at any depth."""
     tree.createOrReplaceTempView("_tree")
-    return tree.sparkSession.sql(f"""
+    return _recursive(tree.sparkSession, f"""
         WITH RECURSIVE down(top, uuid, kind, depth) MAX RECURSION LEVEL {depth} AS (
           SELECT parent, uuid, kind, 1 FROM _tree WHERE parent IS NOT NULL
           UNION ALL

@@ -103,3 +103,8 @@ def test_admin(spark):
     assert {r["longer"] for r in admin.prefix_contexts(spark.createDataFrame([("ab",), ("abc",), ("b",)], "context string")).collect()} == {"abc"}
     gates = spark.createDataFrame([(None, "UP_TO_DATE"), ("UP_TO_DATE", "LATE"), ("LATE", "LATE")], "p string, s string")
     assert [r[0] for r in gates.select(admin.gate(F.col("p"), F.col("s"))).collect()] == ["START", "STOP", "NONE"]
+
+
+def test_lineage_has_no_row_limit(spark):
+    tree = spark.range(600_000).select(F.col("id").alias("device"), F.explode(F.array(F.lit(0), F.lit(1))).alias("layer")).withColumn("parent", F.when(F.col("layer") == 1, 0))
+    assert layers.lineage(tree).count() == 1_800_000
