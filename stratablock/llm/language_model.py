@@ -1,8 +1,9 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 Counts of all training words are taken over the whole corpus. The words above a count that bounds their number (the
-head) travel to the executors; the most frequent of them are put into classes by exchange clustering over bigram
-counts of the whole corpus. All other words form the tail class; what scoring needs of their counts comes by a join.
+head) travel to the executors. The most frequent of them are put into classes by exchange clustering over bigram
+counts of the whole corpus, each further head word into the class that the same exchange gain finds for it.
+All other words form the tail class; what scoring needs of their counts comes by a join.
 P(w | v) = P(class(w) | class(v)) P(w | class(w)), the transitions smoothed by Witten-Bell.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stratablock.llm.common import fold, materialize
 
-#: Bounds of what the driver and each worker hold: head words, clustered words, classes.
+#: Bounds of what the driver and each worker hold: head words, words that move between classes, classes.
 HEAD, CLUSTERED, CLASSES = 250_000, 1000, 64
 SWEEPS = 8
 #: Distinct words that a task counts before it hands on its counts.
@@ -68,28 +69,78 @@ def head_bound(counts: DataFrame, most: int) -> int:
     return bound
 
 
-def _bigrams(numbers: dict[bytes, int], size: int):
-    """Pairs of neighbours: 0 to k-1 the clustered words, k other head words, k+1 the tail, k+2 the ends of texts."""
+def _neighbours(numbers: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Runs of neighbours by number: head words by their place, then all tail words, then the ends of texts."""
+    get, tail = numbers.get, len(numbers)
+    for batch in batches:
+        ids: list[int] = [tail + 1]
+        for text in batch.column(0):
+            ids += map(get, tokens(text.as_py()), repeat(tail))
+            ids.append(tail + 1)
+            if len(ids) > 1 << 20:
+                yield np.array(ids)
+                ids = [tail + 1]
+        if len(ids) > 1:
+            yield np.array(ids)
+
+
+def _bigrams(numbers: dict[bytes, int], group: np.ndarray):
+    """Pairs of neighbours by the group of each number."""
+    size = int(group.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(size * size, np.int64)
-        get = numbers.get
-        for batch in batches:
-            ids: list[int] = [size - 1]
-            for text in batch.column(0):
-                ids += map(get, tokens(text.as_py()), repeat(size - 2))
-                ids.append(size - 1)
-                if len(ids) > 1 << 20:
-                    pairs += np.bincount(np.array(ids[:-1]) * size + np.array(ids[1:]), minlength=size * size)
-                    ids = [size - 1]
-            if len(ids) > 1:
-                pairs += np.bincount(np.array(ids[:-1]) * size + np.array(ids[1:]), minlength=size * size)
+        for ids in _neighbours(numbers, batches):
+            at = group[ids]
+            pairs += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(pairs[at])], names=["pair", "n"])
 
     return run
 
 
+def bigrams(texts: DataFrame, numbers: dict[bytes, int], group: np.ndarray) -> np.ndarray:
+    """Counts of neighbours in all texts, by the groups of both."""
+    size = int(group.max()) + 1
+    pairs = np.zeros(size * size)
+    for r in texts.mapInArrow(_bigrams(numbers, group), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
+    return pairs.reshape(size, size)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
+def _contexts(numbers: dict[bytes, int], group: np.ndarray, k: int):
+    """word, slot and n of head words from the k-th: slot g is a next word of group g, size + g one before, 2 size the word itself."""
+    head, size = len(numbers), int(group.max()) + 1
+    slots = 2 * size + 1
+
+    def rows(held) -> pa.RecordBatch:
+        keys, n = held
+        return pa.RecordBatch.from_arrays([pa.array((keys // slots).astype(np.int32)), pa.array((keys % slots).astype(np.int32)), pa.array(n)], names=["word", "slot", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for ids in _neighbours(numbers, batches):
+            first, second, at = ids[:-1], ids[1:], group[ids]
+            same = first == second
+            after = (first * slots + np.where(same, 2 * size, at[1:]))[(first >= k) & (first < head)]
+            before = (second * slots + size + at[:-1])[(second >= k) & (second < head) & ~same]
+            held.append(np.unique(np.concatenate((after, before)), return_counts=True))
+            if sum(len(keys) for keys, _ in held) > 4 * FLUSH:
+                held = [_merged(held)]
+                if len(held[0][0]) > 2 * FLUSH:
+                    yield rows(held[0])
+                    held = []
+        if held:
+            yield rows(_merged(held))
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -140,17 +191,71 @@ def exchange_clustering(pairs: np.ndarray, k: int, classes: int, sweeps: int = S
     return member
 
 
+def place_words(grid: np.ndarray, classes: int, starts: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class with the most exchange gain for each word of group `classes`, whose contexts are slot and n from starts[i] on.
+
+    grid holds the counts of neighbours by group: the classes, the words to place, and what keeps a group of its own.
+    """
+    size = len(grid)
+    word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slot))))
+    dense = np.zeros((len(starts), 2 * size + 1))
+    dense[word, slot] = n
+    to, back, own = dense[:, :classes], dense[:, size : size + classes], dense[:, -1:]
+    # A word leaves its group before it goes elsewhere, so its own neighbours no longer stand beside that group.
+    base = np.concatenate((grid[:classes].T, grid[:, :classes], np.zeros((1, classes))))[slot]
+    base[slot == classes] -= back[word[slot == classes]]
+    base[slot == size + classes] -= to[word[slot == size + classes]]
+    term = _xlogx(base + n[:, None]) - _xlogx(base)
+    term[slot == 2 * size] = 0
+    gain = np.add.reduceat(term, starts)
+    corner = np.diag(grid)[:classes]
+    gain += _xlogx(corner + to + back + own) + _xlogx(corner) - _xlogx(corner + to) - _xlogx(corner + back)
+    left, right = grid.sum(axis=1)[:classes], grid.sum(axis=0)[:classes]
+    outs, ins = dense[:, :size].sum(axis=1, keepdims=True) + own, dense[:, size:-1].sum(axis=1, keepdims=True) + own
+    gain -= _xlogx(left + outs) - _xlogx(left) + _xlogx(right + ins) - _xlogx(right)
+    return gain.argmax(axis=1)
+
+
+def _place(grid: np.ndarray, classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = batch.column(1)
+                starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+                slot, n = (lists.flatten().field(i).to_numpy() for i in range(2))
+                found = place_words(grid, classes, starts - starts[0], slot, n.astype(float))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.int32))], names=["word", "class"])
+
+    return run
+
+
+def word_classes(texts: DataFrame, numbers: dict[bytes, int], k: int, classes: int) -> np.ndarray:
+    """Class of each head word: the first k by exchange clustering, the others each by its own counts, in parallel."""
+    head = len(numbers)
+    group = np.concatenate((np.minimum(np.arange(head), k), [k + 1, k + 2])).astype(np.int64)
+    pairs = bigrams(texts, numbers, group)
+    member = exchange_clustering(pairs, k, classes)
+    if head == k:
+        return member[:k]
+    onto = np.zeros((k + 3, classes + 3))
+    onto[np.arange(k + 3), member] = 1
+    group = member[group]
+    found = texts.mapInArrow(_contexts(numbers, group, k), "word int, slot int, n long").repartition("word")
+    found = found.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("slot", "n"))).alias("slots"))
+    out = group[:head].copy()
+    for r in found.mapInArrow(_place(onto.T @ pairs @ onto, classes), "word int, class int").toArrow().to_batches():
+        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    return out
+
+
 class ClassModel:
     """What an executor needs to score whole texts, but for the counts of tail words."""
 
-    def __init__(self, head: list[tuple[bytes, int]], member: np.ndarray, pairs: np.ndarray, n: int, v: int, tail: tuple[int, int]):
+    def __init__(self, head: list[tuple[bytes, int]], classes: np.ndarray, grid: np.ndarray, n: int, v: int, tail: tuple[int, int]):
         self.n, self.v = n, v
-        k, size = len(member) - 3, len(member)
-        total = int(member.max()) + 1 if size else 0
+        total = len(grid)
         self.tail_class, self.end_class = total - 2, total - 1
-        onto = np.zeros((size, total))
-        onto[np.arange(size), member] = 1
-        grid = onto.T @ pairs @ onto
         seen = grid.sum(axis=0)
         # Every class keeps a chance, as a held-out text may hold what training texts lack.
         base = (seen + 0.5) / (seen.sum() + 0.5 * total)
@@ -159,14 +264,13 @@ class ClassModel:
         self.step = np.log10(smooth)
         self.floor = n + 0.5 * (v + 1)
         in_class = np.zeros(total)
-        classes = [int(member[i]) if i < k else total - 3 for i in range(len(head))]
         np.add.at(in_class, classes, [c for _, c in head])
         # Number of a word: its place in the head; the last two are the tail and the end.
         self.numbers = {w: i for i, (w, _) in enumerate(head)}
         counts = np.array([c for _, c in head], float)
         self.classes = np.array([*classes, self.tail_class, self.end_class], np.int64)
         self.emit = np.concatenate((np.log10(counts / in_class[classes]) if head else [], [0.0, 0.0]))
-        ends = pairs[-1].sum() if size else 0
+        ends = grid[-1].sum()
         self.base = np.concatenate((np.log10((counts + 0.5) / self.floor), [0.0, math.log10((ends + 0.5) / self.floor)]))
         self.ends = int(ends)
         #: log10 of what divides (c + 0.5) for a tail word: in the base score and in its class.
@@ -229,16 +333,12 @@ def train(texts: DataFrame, head_most: int = HEAD, clustered: int = CLUSTERED, c
     head = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= bound).collect()), key=lambda x: (-x[1], x[0]))
     tail = counts.where(F.col("c") < bound)
     k = min(clustered, len(head))
-    size = k + 3
-    numbers = {w: min(i, k) for i, (w, _) in enumerate(head)}
-    # Words beyond the head are k + 1, so `size - 2`.
-    pairs = np.zeros(size * size)
-    for r in texts.mapInArrow(_bigrams(numbers, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        pairs[r["pair"]] = r["n"]
-    pairs = pairs.reshape(size, size)
-    member = exchange_clustering(pairs, k, max(1, min(classes, k)))
+    numbers = {w: i for i, (w, _) in enumerate(head)}
+    classes = max(1, min(classes, k))
+    of_word = word_classes(texts, numbers, k, classes)
+    grid = bigrams(texts, numbers, np.concatenate((of_word, [classes, classes + 1])).astype(np.int64))
     in_head = sum(c for _, c in head)
-    model = ClassModel(head, member, pairs, whole[1] + n_texts, whole[0] + (n_texts > 0), (whole[1] - in_head, whole[0] - len(head)))
+    model = ClassModel(head, of_word, grid, whole[1] + n_texts, whole[0] + (n_texts > 0), (whole[1] - in_head, whole[0] - len(head)))
     return model, tail
 
 
