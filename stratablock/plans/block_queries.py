@@ -95,7 +95,7 @@ def _(spark, d):
 @query("digest_sha512_tiger")
 def _(spark, d):
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return X.table(spark, d, "documents").select("doc_id", C.persisted_key(C.digest("SHA-512", data), "SHA-512").alias("sha512"), C.digest("Tiger", F.substring(data, 1, 512)).alias("tiger"))
+    return X.table(spark, d, "documents").select("doc_id", C.persisted_key(C.digest("SHA-512", data), "SHA-512").alias("sha512"), C.digest("Tiger", data).alias("tiger"))
 
 
 @query("key_order", f"WITH {BLOCKS}, k AS (SELECT DISTINCT substring(key, 1, CAST(2 + 2 * (block_index % 3) AS BIGINT)) AS key FROM blocks WHERE block_index < 3), s AS (SELECT key, list_transform(range(0, length(key) // 2), lambda i: (CAST('0x' || substring(key, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) + 128) % 256) AS b FROM k) SELECT key, CAST(row_number() OVER (ORDER BY length(key), b) AS INTEGER) AS place FROM s")

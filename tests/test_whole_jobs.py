@@ -9,3 +9,11 @@ from tests.conftest import duck_rows, rows_of
 def test_last_version_of_every_file(spark, sf_dir, duck):
     found = QUERIES["stream_last_version"](spark, sf_dir)
     assert rows_of(found) == duck_rows(duck, "SELECT l_partkey AS file, max(l_orderkey) AS version FROM lineitem GROUP BY l_partkey")[1]
+
+
+def test_tiger_of_whole_texts(spark, sf_dir):
+    found = dict(QUERIES["digest_sha512_tiger"](spark, sf_dir).select("doc_id", "tiger").collect())
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: tiger((r["text"] or "").encode()) for r in texts}
+    assert any(len(r["text"] or "") > 512 for r in texts)
+    assert {k: bytes.fromhex(v) if isinstance(v, str) else bytes(v) for k, v in found.items()} == want
