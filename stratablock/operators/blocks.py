@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratablock.functions.columns import partition_of
+from stratablock.functions.columns import key_order, partition_of
 
 
 def dedup_summary(blocks: DataFrame, *by: str) -> DataFrame:
@@ -35,6 +35,18 @@ def partition_stats(keys: DataFrame, partitions: int = 5) -> DataFrame:
     return routed.groupBy("ibp").agg(F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("keys"))
 
 
+def key_places(keys: DataFrame) -> DataFrame:
+    """key and place (from 1) in key order, without a sort in one task: counts of ranges by length and first two bytes, then ranks within."""
+    # Flipping the top bit of a byte puts signed bytes in order.
+    first = F.conv(F.rpad(F.substring("key", 1, 4), 4, "0"), 16, 10).cast("long").bitwiseXOR(F.lit(0x8080))
+    rows = keys.select("key", (F.length("key") * 65536 + first).alias("_range"))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*key_order(F.col("key"))))
+    return rows.join(starts, "_range").select("key", (F.col("_start") + within).alias("place"))
+
+
 def put_if_absent(new: DataFrame, store: DataFrame) -> DataFrame:
     """key and data of the keys of new that store lacks, once each."""
     missing = new.join(store.select("key"), "key", "left_anti")

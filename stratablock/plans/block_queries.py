@@ -100,11 +100,7 @@ def _(spark, d):
 
 @query("key_order", f"WITH {BLOCKS}, k AS (SELECT DISTINCT substring(key, 1, CAST(2 + 2 * (block_index % 3) AS BIGINT)) AS key FROM blocks WHERE block_index < 3), s AS (SELECT key, list_transform(range(0, length(key) // 2), lambda i: (CAST('0x' || substring(key, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) + 128) % 256) AS b FROM k) SELECT key, CAST(row_number() OVER (ORDER BY length(key), b) AS INTEGER) AS place FROM s")
 def _(spark, d):
-    short = F.substring(F.col("key"), F.lit(1), (F.col("block_index") % 3 * 2 + 2).cast("int"))
-    keys = X.doc_blocks(spark, d).where("block_index < 3").select(short.alias("key")).distinct()
-    from pyspark.sql import Window
-
-    return keys.select("key", F.row_number().over(Window.orderBy(*C.key_order(F.col("key")))).alias("place"))
+    return B.key_places(X.doc_blocks(spark, d).select("key").distinct())
 
 
 @query("key_hash32")

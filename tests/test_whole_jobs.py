@@ -17,3 +17,9 @@ def test_tiger_of_whole_texts(spark, sf_dir):
     want = {r["doc_id"]: tiger((r["text"] or "").encode()) for r in texts}
     assert any(len(r["text"] or "") > 512 for r in texts)
     assert {k: bytes.fromhex(v) if isinstance(v, str) else bytes(v) for k, v in found.items()} == want
+
+
+def test_key_order_of_all_blocks(spark, sf_dir):
+    found = [r["key"] for r in QUERIES["key_order"](spark, sf_dir).orderBy("place").collect()]
+    keys = {r["key"] for r in QUERIES["block_refcounts"](spark, sf_dir).select("key").collect()}
+    assert found == sorted(keys, key=lambda k: [b - 256 if b > 127 else b for b in bytes.fromhex(k)])
