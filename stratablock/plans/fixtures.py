@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_CHARS, BLOCK_BYTES = 512, 4096
+BLOCK_CHARS, BLOCK_BYTES, DEVICE_BLOCKS = 512, 4096, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ def _(spark, d):
 def _(spark, d):
     ops = X.device_ops(spark, d)
     now = L.layer_deltas(ops.where("op IN ('WRITE', 'TRIM')"), parity=False).select("device", "block_index", "key")
-    grid = ops.select("device").distinct().withColumn("block_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    grid = ops.select("device").distinct().withColumn("block_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(X.DEVICE_BLOCKS - 1).cast("long"))))
     return grid.join(now, ["device", "block_index"], "left").select("device", "block_index", F.coalesce("key", F.lit("0" * 32)).alias("data"))
 
 

@@ -23,3 +23,11 @@ def test_key_order_of_all_blocks(spark, sf_dir):
     found = [r["key"] for r in QUERIES["key_order"](spark, sf_dir).orderBy("place").collect()]
     keys = {r["key"] for r in QUERIES["block_refcounts"](spark, sf_dir).select("key").collect()}
     assert found == sorted(keys, key=lambda k: [b - 256 if b > 127 else b for b in bytes.fromhex(k)])
+
+
+def test_read_zero_fill_of_all_blocks(spark, sf_dir, duck):
+    sql = """WITH o AS (SELECT event_id AS seq, user_id AS device, event_type AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) AS b, md5(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS key FROM events),
+    m AS (SELECT device, b, arg_max(CASE WHEN t = 'error' THEN '' ELSE key END, seq) AS key FROM o WHERE t IN ('click', 'purchase', 'error') GROUP BY device, b),
+    g AS (SELECT device, b FROM (SELECT DISTINCT device FROM o), unnest(range(100)) AS r(b))
+    SELECT g.device, g.b AS block_index, coalesce(nullif(m.key, ''), repeat('0', 32)) AS data FROM g LEFT JOIN m ON g.device = m.device AND g.b = m.b"""
+    assert rows_of(QUERIES["read_zero_fill"](spark, sf_dir)) == duck_rows(duck, sql)[1]
