@@ -37,7 +37,7 @@ def _(spark, d):
 @query("volume_block_read", "SELECT doc_id AS volume, substring(text, 701, 1500) AS data FROM documents WHERE length(text) >= 2200")
 def _(spark, d):
     rows = X.doc_blocks(spark, d).withColumn("device", F.col("volume"))
-    asked = X.table(spark, d, "documents").where("length(text) >= 2200").select(F.col("doc_id").alias("device"), F.col("doc_id").alias("seq"), F.lit(700).cast("long").alias("offset"), F.lit(1500).cast("long").alias("length"))
+    asked = X.table(spark, d, "documents").select(F.col("doc_id").alias("device"), F.col("doc_id").alias("seq"), F.lit(0).cast("long").alias("offset"), F.length("text").cast("long").alias("length"))
     return D.read(asked, rows, rows.select("key", "data").dropDuplicates(["key"]), X.BLOCK_CHARS, "0").select(F.col("device").alias("volume"), "data")
 
 

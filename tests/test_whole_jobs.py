@@ -31,3 +31,8 @@ def test_read_zero_fill_of_all_blocks(spark, sf_dir, duck):
     g AS (SELECT device, b FROM (SELECT DISTINCT device FROM o), unnest(range(100)) AS r(b))
     SELECT g.device, g.b AS block_index, coalesce(nullif(m.key, ''), repeat('0', 32)) AS data FROM g LEFT JOIN m ON g.device = m.device AND g.b = m.b"""
     assert rows_of(QUERIES["read_zero_fill"](spark, sf_dir)) == duck_rows(duck, sql)[1]
+
+
+def test_read_of_whole_volumes(spark, sf_dir, duck):
+    found = QUERIES["volume_block_read"](spark, sf_dir)
+    assert rows_of(found) == duck_rows(duck, "SELECT doc_id AS volume, text AS data FROM documents WHERE text <> ''")[1]
