@@ -36,3 +36,8 @@ def test_read_zero_fill_of_all_blocks(spark, sf_dir, duck):
 def test_read_of_whole_volumes(spark, sf_dir, duck):
     found = QUERIES["volume_block_read"](spark, sf_dir)
     assert rows_of(found) == duck_rows(duck, "SELECT doc_id AS volume, text AS data FROM documents WHERE text <> ''")[1]
+
+
+def test_lookup_of_every_transaction(spark, sf_dir, duck):
+    sql = f"WITH {TASKS} SELECT tx_id, status FROM tasks UNION ALL SELECT -1 - tx_id, 'UNKNOWN' FROM tasks"
+    assert rows_of(QUERIES["task_lookup"](spark, sf_dir)) == duck_rows(duck, sql)[1]
