@@ -56,7 +56,7 @@ def layer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layers(spark, sf_dir).select("device", "layer", "text", at.alias("i"))
     block = ((F.length("text") + F.col("layer") * 3 + F.col("i") * 5) % 8).cast("long")
     state = F.when((F.length("text") + F.col("i")) % 4 == 0, 2).otherwise(1)
-    key = F.md5(F.concat_ws(":", F.substring("text", 1, 100), F.col("i").cast("string")))
+    key = F.md5(F.concat(F.col("text"), F.lit(":"), F.col("i").cast("string")))
     return rows.select("device", "layer", block.alias("block_index"), state.alias("state"), F.when(state == 1, key).alias("key"))
 
 

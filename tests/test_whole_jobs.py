@@ -41,3 +41,11 @@ def test_read_of_whole_volumes(spark, sf_dir, duck):
 def test_lookup_of_every_transaction(spark, sf_dir, duck):
     sql = f"WITH {TASKS} SELECT tx_id, status FROM tasks UNION ALL SELECT -1 - tx_id, 'UNKNOWN' FROM tasks"
     assert rows_of(QUERIES["task_lookup"](spark, sf_dir)) == duck_rows(duck, sql)[1]
+
+
+def test_layer_keys_of_whole_texts(spark, sf_dir, duck):
+    from stratablock.plans import fixtures
+
+    sql = f"""WITH {LAYERS} SELECT device, layer, (length(text) + layer * 3 + i * 5) % 8 AS block_index, CASE WHEN (length(text) + i) % 4 = 0 THEN 2 ELSE 1 END AS state,
+    CASE WHEN (length(text) + i) % 4 <> 0 THEN md5(text || ':' || CAST(i AS VARCHAR)) END AS key FROM layers, unnest([0, 1, 2]) AS t(i)"""
+    assert rows_of(fixtures.layer_map(spark, sf_dir)) == duck_rows(duck, sql)[1]
