@@ -19,8 +19,7 @@ def test_steps_are_written_and_forgotten(spark):
 
 
 def test_shared_dir_is_the_cluster_s(spark, monkeypatch):
-    conf = type(spark.sparkContext.getConf())
-    monkeypatch.setattr(conf, "get", lambda self, key, default=None: "hdfs://nn/steps/" if key == "spark.checkpoint.dir" else default)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: "hdfs://nn/steps/" if key == "spark.checkpoint.dir" else default)
     assert common.shared_dir(spark) == "hdfs://nn/steps"
 
 
