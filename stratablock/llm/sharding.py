@@ -2,7 +2,8 @@
 
 Rows lie in hash blocks. One small count per block reaches the driver, which draws how many rows each block
 sends to each shard (exact multivariate hypergeometric counts, row sums fixed by the blocks, column sums by the
-shards). Blocks permute their rows by a keyed hash, deal them out by those counts, and the shards permute again.
+shards). Blocks permute their rows by a keyed hash of the row and of its number among equal rows, deal them out by
+those counts, and the shards permute again.
 Everything that touches rows is DataFrame code.
 """
 
@@ -15,12 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import ENGINE_SEED, json_rows, without
+from stratablock.llm.common import ENGINE_SEED, hot_bound, json_rows, repeat_rows, row_keys, whole_row, without
 
-#: A block is sorted by one task, so it is small while it can be. The number of blocks is bounded, as the matrix lives
-#: on the driver.
+#: A block is sorted by one task, so it is small while it can be. The number of blocks and the cells of the matrix are
+#: bounded, as the matrix lives on the driver.
 ROWS_PER_BLOCK = 2_000
 BLOCKS = (64, 32_768)
+CELLS = 1 << 21
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -63,49 +65,83 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """df with `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard); shard sizes differ by one row at most.
 
-    Nulls: hashed like any value. Repeated rows: each is dealt out on its own; as they are equal, which of them
-    goes where can't be told. Empty df: no rows. Columns named shard or slot are replaced. Reruns agree, however
-    the input is split. Map columns don't take part in the hash.
+    Equal rows are numbered, and each is dealt and placed by its own number, so copies don't stay together. A row that
+    occurs more often than the bound for equal rows is a block of its own: its copies need no order before the
+    exchange, so the matrix alone tells how many each shard gets, and these are made where they go. Nulls: hashed like
+    any value. Empty df: no rows. Long texts move whole. Columns named shard or slot are replaced, others may have any
+    name. Reruns agree, however the input is split.
     """
     spark, df = df.sparkSession, without(df, "shard", "slot")
-    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
-    keyed = lambda salt: F.xxhash64(F.lit(seed + salt), *plain)
-
+    h, g = row_keys(df)
     total = df.count()
-    n_blocks = min(max(-(-total // rows_per_block), blocks[0]), blocks[1])
-    block = F.pmod(keyed(1), F.lit(n_blocks)).cast("int")
-    counts = {r["b"]: r["n"] for r in df.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = sorted(counts)
+    n_blocks = min(max(-(-total // rows_per_block), blocks[0]), blocks[1], max(1, CELLS // shards))
+    block = F.pmod(F.xxhash64(F.lit(seed), "h", "g"), F.lit(n_blocks)).cast("int")
+    counts = df.select(h.alias("h"), g.alias("g")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
+    # One job for both: the sizes of the blocks, and the few rows that are dealt by their count.
+    bound = hot_bound(total)
+    often = F.col("n") > bound
+    found = counts.groupBy(block.alias("b")).agg(
+        F.sum(F.when(~often, F.col("n")).otherwise(0)).alias("rows"), F.collect_list(F.when(often, F.struct("h", "g", "n"))).alias("hot")
+    )
+    sizes, hot = {}, []
+    for r in found.collect():
+        sizes[r["b"]] = r["rows"]
+        hot += [x.asDict() for x in r["hot"]]
+    order = sorted(sizes)
+    hot.sort(key=lambda x: (x["h"], x["g"]))
     shard_rows = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix([counts[b] for b in order], shard_rows, seed)
-    cuts = [{"__b": b, "__cuts": np.cumsum(row).tolist()} for b, row in zip(order, matrix, strict=True)]
-    # At most 32768 blocks of `shards` numbers.
+    matrix = communication_matrix([sizes[b] for b in order] + [x["n"] for x in hot], shard_rows, seed)
+    cuts = [{"__b": b, "__cuts": np.cumsum(row).tolist()} for b, row in zip(order, matrix[: len(order)], strict=True)]
+    # At most CELLS numbers.
     deal = F.broadcast(json_rows(spark, json.dumps(cuts), "struct<__b:int,__cuts:array<bigint>>"))
 
-    local = Window.partitionBy("__b").orderBy("__h", "__g")
+    keyed = df.select(whole_row(df).alias("row"), h.alias("h"), g.alias("g"))
+    if hot:
+        known = json.dumps([{"h": x["h"], "g": x["g"], "sent": row} for x, row in zip(hot, matrix[len(order) :], strict=True)])
+        known = F.broadcast(json_rows(spark, known, "struct<h:bigint,g:bigint,sent:array<bigint>>"))  # at most HOT_SHARE rows
+        often = keyed.join(known, ["h", "g"]).dropDuplicates(["h", "g"])
+        keyed = keyed.join(known, ["h", "g"], "left_anti")
+    # Copies of one row lie in one block and are numbered there.
+    copy = F.row_number().over(Window.partitionBy("__b", "h", "g").orderBy("h"))
+    local = Window.partitionBy("__b").orderBy(_place(seed + 1), "h", "g", "copy")
     dealt = (
-        df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), block.alias("__b"), keyed(2).alias("__h"), keyed(3).alias("__g"))
+        keyed.withColumn("__b", block)
+        .withColumn("copy", copy.cast("long"))
         .withColumn("__r", F.row_number().over(local) - 1)
         .join(deal, "__b")
         .withColumn("shard", F.expr("size(filter(__cuts, c -> c <= __r))"))
+        .select("row", "h", "g", "copy", "shard")
     )
+    if hot:
+        each = often.select("row", "h", "g", F.posexplode("sent").alias("shard", "n"))
+        each = repeat_rows(each, "n", ["h", "g", "shard"])
+        dealt = dealt.unionByName(each.select("row", "h", "g", (F.col("copy") * shards + F.col("shard")).alias("copy"), "shard"))
     # The second permutation goes by ranges of a hash, so that no task holds a whole shard.
     bits = max(1, (n_blocks - 1).bit_length())
-    dealt = dealt.withColumn("__p", F.shiftrightunsigned("__g", 64 - bits).cast("int"))
+    dealt = dealt.withColumn("__at", _place(seed + 2)).withColumn("__p", F.shiftrightunsigned("__at", 64 - bits).cast("int"))
     sizes = dealt.groupBy("shard", "__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
-    inner = Window.partitionBy("shard", "__p").orderBy("__g", "__h")
+    starts = sizes.select("shard", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inner = Window.partitionBy("shard", "__p").orderBy("__at", "h", "g", "copy")
     return (
         dealt.withColumn("__i", F.row_number().over(inner) - 1)
         .join(starts, ["shard", "__p"])
-        .withColumn("slot", (F.col("__at") + F.col("__i")).cast("long"))
+        .withColumn("slot", (F.col("__start") + F.col("__i")).cast("long"))
         .select("row.*", "shard", "slot")
     )
 
 
+def _place(salt: int) -> F.Column:
+    """Where a permutation puts a copy."""
+    return F.xxhash64(F.lit(salt), "h", "g", "copy")
+
+
 def document_shards(docs: DataFrame, shards: int = 40, seed: int = ENGINE_SEED) -> DataFrame:
-    """Digest of a sharding of documents by the law `rows`: counts at most one apart."""
+    """Digest of a sharding of documents by the law `rows`: counts at most one apart.
+
+    Null text: no bytes, size 16, crc32 of nothing. Rows of one digest are copies, dealt each on its own. Empty docs:
+    no rows. Other columns take no part.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select("doc_id", (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return shuffle_into_shards(narrow, shards, seed).select(
