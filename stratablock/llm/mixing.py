@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import ENGINE_SEED, materialize
+from stratablock.llm.common import ENGINE_SEED, REPEAT, chunks, hot_keys, materialize, named, once_each, repeat_rows, row_keys, whole_row
 
-#: Documents that one flight handles.
-BLOCK = 4096
+#: Documents that one flight handles, and equal ones of them that go to one block together.
+BLOCK, RUN = 4096, 64
 MOST = 3
 EPS = 1e-9
 
@@ -31,24 +31,30 @@ def source_targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     """One row per source of sized(source, size): source_size, n_docs, target.
 
     Weights 1, 2, 3 repeat over the sources by code point, null last. Shares of all sizes by weight; a target stops
-    at `most` times its source's size, and the excess is shared again by weight until none is above: with the sources
-    ordered by cap / weight, the first k are capped, where k is the least number that leaves no other above.
+    at `most` times its source's size, and the excess is shared again by weight until none is above: each round stops
+    the sources that its share would lift too high. Sources are ranked by ranges, so their number is not bounded.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("w", ((rank - 1) % 3 + 1).cast("long")).withColumn("cap", most * F.col("source_size"))
-    up = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    first, every = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    per = per.withColumns(
-        {
-            "i": F.row_number().over(up),
-            "level": (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(first), F.lit(0))).cast("double")
-            / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(first), F.lit(0))).cast("double"),
-        }
-    )
-    fits = F.col("cap").cast("double") / F.col("w") >= F.col("level")
-    per = per.withColumn("at", F.min(F.when(fits, F.struct("i", "level"))).over(every))
-    target = F.when(F.col("i") >= F.col("at.i"), F.col("w") * F.col("at.level")).otherwise(F.col("cap").cast("double"))
+    per = per.repartitionByRange(F.col("source").isNull(), "source").withColumn("__p", F.spark_partition_id())
+    per = materialize(per, "sources")
+    starts = per.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # One row for each range.
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.col("__start") + F.row_number().over(Window.partitionBy("__p").orderBy(F.col("source").asc_nulls_last()))
+    per = per.join(starts, "__p").select("source", "source_size", "n_docs", ((rank - 1) % 3 + 1).cast("long").alias("w"))
+    per = materialize(per, "weights")
+
+    cap = most * F.col("source_size")
+    size, weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    level, stopped = size / max(weight, 1), 0
+    while True:
+        above = cap.cast("double") / F.col("w") < F.lit(level)
+        n, caps, weights = per.where(above).agg(F.count(F.lit(1)), F.coalesce(F.sum(cap), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+        if n == stopped:
+            break
+        level, stopped = (size - caps) / max(weight - weights, 1), n
+    target = F.when(above, cap.cast("double")).otherwise(F.col("w") * F.lit(level))
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
@@ -119,10 +125,15 @@ def settle(pi: list[float], size: list[float], order: list[int], rng: random.Ran
 
 def _settle(final: bool, seed: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__u", "__k", "size"], kind="mergesort")
+        part = part.loc[part.index.repeat(part["__n"])]
+        part["__first"] += part.groupby(level=0).cumcount()
+        part["__n"] = 1
+        part = part.sort_values(["__u", "__first", "size"], kind="mergesort")
         rng = random.Random(zlib.crc32(f"{seed}:{part['__u'].iloc[0]}:{len(part)}".encode()))
         pi, size = part["__pi"].tolist(), [float(x) for x in part["size"]]
-        order = sorted(range(len(pi)), key=lambda i: -size[i])
+        # Units of one size are taken in an order of their own, not in that of their numbers.
+        turn = [rng.random() for _ in pi]
+        order = sorted(range(len(pi)), key=lambda i: (-size[i], turn[i]))
         if final or part["__alone"].iloc[0]:
             settle(pi, size, order, rng)
         else:
@@ -133,23 +144,26 @@ def _settle(final: bool, seed: int):
     return run
 
 
-def cube_copies(docs: DataFrame, key: str = "doc_id", seed: int = ENGINE_SEED, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """key, size, source_size, target and copies for each row of docs(key, source, size).
+def cube_copies(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), seed: int = ENGINE_SEED, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """The keys, size, source_size, target and copies for each row of docs(keys, source, size).
 
-    Null source: a source of its own. Size 0: drawn like any other, adds no words. All sizes 0: no copies. Repeated
-    rows: drawn on their own. Empty docs: no rows. Reruns agree: order and draws hang on hashes of key and size.
+    Null source: a source of its own. Null key: like any other. Size 0: drawn like any other, adds no words. All sizes
+    0: no copies. Repeated rows: counted first, then drawn each on its own, in blocks that take a bounded number of
+    one key. Empty docs: no rows. Reruns agree: order and draws hang on hashes of key, size and number.
     """
-    base = docs.select(F.col(f"`{key}`").alias("__k"), "source", "size")
+    inner = [f"__k{i}" for i in range(len(keys))]
+    base = docs.select(*[named(k).alias(i) for k, i in zip(keys, inner, strict=True)], "source", "size")
     # Written out, so that the join with them is between plain shuffles, of which those of a large source can be split.
     goals = materialize(source_targets(base, most).withColumnRenamed("source", "__s"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     cut = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1)).cast("long")
+    counted = chunks(base.groupBy(*inner, "source", "size").agg(F.count(F.lit(1)).alias("__times")), "__times", RUN)
     units = (
-        base.join(goals, base["source"].eqNullSafe(goals["__s"]))
-        .withColumns({"__rate": rate, "__u": F.xxhash64(F.lit(seed), "__k", "size")})
+        counted.join(goals, counted["source"].eqNullSafe(goals["__s"]))
+        .withColumns({"__rate": rate, "__u": F.xxhash64(F.lit(seed), *inner, "size", "first")})
         .withColumns({"__whole": F.floor("__rate").cast("int"), "__pi": F.col("__rate") - F.floor("__rate")})
         .withColumns({"__b": F.pmod(F.col("__u"), cut), "__alone": cut == 1})
-        .select("__k", "source", "size", "source_size", "target", "__whole", "__u", "__pi", "__b", "__alone")
+        .select(*inner, "source", counted["size"], "source_size", "target", "__whole", "__u", "__pi", "__b", "__alone", F.col("first").alias("__first"), F.col("run").alias("__n"))
     )
     rows = materialize(units.groupBy("source", "__b").applyInPandas(_settle(False, seed), units.schema), "flight")
     open_ = (F.col("__pi") > 0) & (F.col("__pi") < 1)
@@ -158,36 +172,41 @@ def cube_copies(docs: DataFrame, key: str = "doc_id", seed: int = ENGINE_SEED, b
     for again in range(1, 20):
         most_left = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         parts = -(-most_left // block) if most_left else 1
-        rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + again), "__u"), F.lit(parts)))
+        rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + again), "__u", "__first"), F.lit(parts)))
         rows = rows.groupBy("source", "__b").applyInPandas(_settle(parts <= 1, seed + again), units.schema)
         if parts <= 1:
             break
         rows = materialize(rows, "flight")
         done, rows = done.unionByName(rows.where(~open_)), rows.where(open_)
     return done.unionByName(rows).select(
-        F.col("__k").alias(key), "source", "size", "source_size", "target", (F.col("__whole") + F.col("__pi").cast("int")).alias("copies")
+        *[F.col(i).alias(k) for k, i in zip(keys, inner, strict=True)], "source", "size", "source_size", "target", (F.col("__whole") + F.col("__pi").cast("int")).alias("copies")
     )
 
 
 def document_mix(docs: DataFrame, seed: int = ENGINE_SEED) -> DataFrame:
-    """Digest of the mix of documents: doc_id, size, source_size, target, taken."""
+    """Digest of the mix of documents: doc_id, size, source_size, target, taken.
+
+    Null and empty texts have size 0 and take nothing; other columns take no part; for all else see cube_copies.
+    """
     # Written out, as sizes are read for the targets and again for the flight.
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return cube_copies(sized, "doc_id", seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return cube_copies(sized, ("doc_id",), seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = ENGINE_SEED) -> DataFrame:
     """docs with every row as often as the mix takes it (0 to 3 times).
 
-    Rows are known by a hash of all their columns; equal rows share their copies.
+    Rows are known by row_keys, whatever kinds of columns they have; equal rows share their copies. Null sources are
+    one source, null texts have no words. Columns may have any name. Empty docs: no rows. Reruns agree.
     """
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "text", F.xxhash64(*plain).alias("key"))
-    sized = materialize(keyed.select("key", "source", word_count(F.col("text")).alias("size")), "sizes")
-    taken = cube_copies(sized, "key", seed).groupBy("key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    return (
-        keyed.select("key", "row").dropDuplicates(["key"])
-        .join(taken, "key")
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("row.*")
-    )
+    h, g = row_keys(docs)
+    keyed = docs.select(whole_row(docs).alias("row"), "source", word_count(F.col("text")).alias("size"), h.alias("h"), g.alias("g"))
+    sized = materialize(keyed.select("h", "g", "source", "size"), "sizes")
+    taken = cube_copies(sized, ("h", "g"), seed).groupBy("h", "g").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    taken = materialize(taken, "taken")
+    hot = hot_keys(taken, sized.count())
+    rows = once_each(keyed.select("h", "g", "row"), taken.drop("n").where("copies > 0"), hot)
+    few = rows.where(F.col("copies") <= REPEAT).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    if taken.where(F.col("copies") > REPEAT).isEmpty():
+        return few.select("row.*")
+    return few.select("row.*").unionByName(repeat_rows(rows.where(F.col("copies") > REPEAT), "copies", ["h", "g"]).select("row.*"))
