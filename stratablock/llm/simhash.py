@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from stratablock.llm.common import forget, materialize
+from stratablock.llm.common import forget, hot_keys, materialize, named, once_each, row_keys, whole_row, with_fields
 
 SHINGLE, MOST, XX_SEED = 4, 4, 42
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -25,6 +26,8 @@ POWERS = 3 ** np.arange(16, dtype=np.int64)
 #: Members of a grid point that are compared by shifts; more are searched breadth first.
 SMALL = 24
 FLUSH = 200_000
+#: Nodes of more links than HUB, and than one part in HUBS of all links, are joined by a broadcast.
+HUB, HUBS = 64, 10_000
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -179,58 +182,76 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest.drain()
 
 
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links(u, v) with m of least(u, m, d), d being the links of u among `total`.
+
+    Nodes of so many links that they would burden a task get m by a broadcast, all others by a shuffle.
+    """
+    bound = max(HUB, -(-total // HUBS))
+    hubs = F.broadcast(least.where(F.col("d") > bound).select("u", "m"))  # fewer than HUBS rows
+    rest = links.join(hubs, "u", "left_anti").join(least.where(F.col("d") <= bound).select("u", "m"), "u")
+    return links.join(hubs, "u").unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node it is linked to, by steps) for links(u, v), by alternating large and small stars."""
     now = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        before, now = now, materialize(small, "stars")
-        forget(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("d"))
+        large = _with_least(both, least, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d"))
+        small = _with_least(large, least, 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        before, now = now, materialize(small, "stars")
+        forget(before)
+        forget(large)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, fp (64 bits as long), component (the least id reachable over links) and the columns `keep`, a row per document.
 
     A text with fewer than 4 words is one shingle. Null, empty or wordless text: fingerprint 0, linked like any
-    other. Repeated rows: each its own row of one component. Null ids: take part, but never name a component unless
-    no other id does (then it is null). Empty docs: no rows.
+    other. Long texts count whole. Repeated rows: each its own row of one component. Null ids: take part, but never
+    name a component unless no other id does (then it is null). Empty docs: no rows. Other columns may have any name.
     """
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *keep, F.col("text").cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    marked = materialize(narrow.mapInArrow(_fingerprints, f"{schema}, fp long"), "fingerprints")
+    narrow = docs.select(named(id_col).cast("long").alias("id"), *[named(k) for k in keep], F.col("text").cast("binary").alias("__text"))
+    schema = with_fields(StructType(narrow.schema.fields[:-1]), ("fp", LongType()))
+    marked = materialize(narrow.mapInArrow(_fingerprints, schema), "fingerprints")
     per = marked.groupBy("fp").agg(F.min("id").alias("first"))
     points = per.select("fp").mapInArrow(_cells, "cell int, fp long")
     links = points.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link, "u long, v long")
     roots = components(links)
     # A root is a member of its own component.
-    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(per, F.col("node") == per["fp"])
-    named = linked.groupBy("root").agg(F.min("first").alias("named"))
-    linked = linked.select("node", "root").join(named, "root").select("node", "named")
-    labelled = per.join(linked, per["fp"] == linked["node"], "left").select("fp", F.coalesce("named", "first").alias("component"))
+    least = roots.join(per, F.col("node") == per["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    named_ = least.join(per, F.col("root") == per["fp"]).select("root", F.least("least", "first").alias("component"))
+    linked = roots.join(named_, "root").select("node", "component").unionByName(named_.select(F.col("root").alias("node"), "component"))
+    labelled = per.join(linked, per["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "first").alias("component"))
     # Written out, so that both sides of the last join are plain shuffles and those of many copies can be split.
     labelled = materialize(labelled, "labelled")
-    return marked.join(labelled, "fp").select("id", *keep, "fp", "component")
+    return marked.join(labelled, "fp").select("id", *[named(k) for k in keep], "fp", "component")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id of each document; odd input as in near_duplicates."""
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the least doc_id, among rows of one doc_id that of the least row hash."""
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, "doc_id", "text", F.xxhash64(*plain).alias("key"))
-    found = near_duplicates(keyed, keep=("key",))
-    stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("s")).select(F.col("s.key").alias("key")).distinct()
-    return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")
+    """docs with one row of each group: that of the least doc_id (null last), among rows of one doc_id that of the least row_keys.
+
+    Null, empty and wordless texts are one group. Repeated rows are one. Columns may have any name. Empty docs: no rows.
+    """
+    h, g = row_keys(docs)
+    keyed = docs.select(whole_row(docs).alias("row"), "doc_id", "text", h.alias("h"), g.alias("g"))
+    found = near_duplicates(keyed, keep=("h", "g"))
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h", "g")).alias("s")).select("s.h", "s.g").distinct()
+    stays = materialize(stays, "stays")
+    counts = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
+    return once_each(keyed.select("h", "g", "row"), stays, hot_keys(counts, found.count())).select("row.*")
