@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from stratablock.llm.common import ENGINE_SEED, fold, without
+from stratablock.llm.common import ENGINE_SEED, excerpt, fold, with_fields, without
 
-#: Bound of the training sample: rows of each class and bytes of a row that may enter.
-SAMPLE_ROWS, SAMPLE_DOC_BYTES = 2000, 16384
+#: Bound of the training sample: rows of each class, and characters of a row, from so many places if it has more.
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES = 2000, 16384, 16
 ORDER, DISCOUNT, SYMBOLS = 4, 0.75, 256
 #: Lengths in words of the stretches whose ratio is taken at its highest.
 STRETCHES = (1, 8, 32)
@@ -156,18 +157,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_bytes: int) -> list[tuple[bytes, int]]:
-    """(text, 0 or 1) of at most `rows` rows of each class in hash order; longer texts than doc_bytes stay out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[bytes, int]]:
+    """(text, 0 or 1) of at most `rows` labelled rows of each class, by a hash of their ids.
 
-    Labels other than 0 and 1 are skipped; of labels that differ for one id each counts. Equal texts count once.
+    Every labelled row can enter: of a text of more than `chars` characters there are pieces from anywhere in it. Labels
+    other than 0 and 1 and null ids are skipped; of labels that differ for one id each counts. Of rows of one id the
+    one of the least hash counts. Equal texts count once. Ids are chosen without reading texts, which are read once.
     """
-    marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1)").distinct()
-    small = docs.where(F.octet_length("text") <= doc_bytes).select("doc_id", "text", F.xxhash64(F.lit(ENGINE_SEED), "text").alias("h"))
-    known = small.select("doc_id", "h").join(marks, "doc_id")
-    picked = {y: [r["h"] for r in known.where(F.col("y") == y).select("h").distinct().orderBy("h").limit(rows).collect()] for y in (0, 1)}
+    place = F.xxhash64(F.lit(ENGINE_SEED), F.col("doc_id"))
+    marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").distinct()
+    known = marks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("at", place)
+    # Some more ids than rows, as texts can be equal.
+    most = rows + rows // 2
+    picked = {y: [r["doc_id"] for r in known.where(F.col("y") == y).orderBy("at", "doc_id").limit(most).collect()] for y in (0, 1)}
     wanted = sorted({*picked[0], *picked[1]})
-    texts = {r["h"]: r["text"].encode() for r in small.where(F.col("h").isin(wanted)).select("h", "text").distinct().collect()} if wanted else {}
-    return [(texts[h], y) for h, y in sorted((h, y) for y in (0, 1) for h in picked[y])]
+    if not wanted:
+        return []
+    found = docs.where(F.col("doc_id").isin(wanted) & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), excerpt(F.col("text"), chars, PIECES).alias("part"))
+    texts = {r["doc_id"]: (r["s"]["h"], r["s"]["part"]) for r in found.groupBy("doc_id").agg(F.min(F.struct("h", "part")).alias("s")).collect()}
+    out = []
+    for y in (0, 1):
+        mine = dict.fromkeys(texts[i] for i in picked[y] if i in texts)
+        out += [(h, part.encode(), y) for h, part in list(mine)[:rows]]
+    return [(part, y) for _, part, y in sorted(out)]
 
 
 def _score(model: ToxicityModel):
@@ -180,23 +192,22 @@ def _score(model: ToxicityModel):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return ToxicityModel(sample(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_DOC_BYTES))
+    return ToxicityModel(sample(docs, labels, "toxic", SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with score (0 to 1) of each whole text.
 
-    Null, empty or wordless text: the score of a ratio of 0. Repeated rows: each its own. A column named score is
-    replaced. With too few rows of a class to leave some out the mean ratio alone decides; without rows of both
+    Null, empty or wordless text: the score of a ratio of 0. Long texts count whole, bytes that are no UTF-8 as they
+    are. Repeated rows: each its own. A column named score is replaced, others may have any name. Empty docs: no rows. With too few rows of a class to leave some out the mean ratio alone decides; without rows of both
     classes every score is one half.
     """
     docs = without(docs, "score", "__text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), f"{kept}, score double")
+    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), with_fields(docs.schema, ("score", DoubleType())))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.5) of each document."""
+    """doc_id, held_out, score and predicted (score >= 0.5) of each document; odd input as in sample and score_toxicity."""
     held = fold(F.col("doc_id"), 5) == 0
     model = train(docs.where(~held), labels)
     narrow = docs.select("doc_id", held.alias("held_out"), "text")
