@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from stratablock.llm.common import without
+from stratablock.llm.common import with_fields, without
 
 #: Strings that one exact set may hold before the rest of a sequence starts a new one.
 EXACT_MOST = 64
 CHUNK = 4 << 20
+SPANS = ArrayType(StructType().add("kind", StringType()).add("start", LongType()).add("end", LongType()))
 
 
 @dataclass(frozen=True)
@@ -192,13 +194,14 @@ def _scan(rules: tuple[Rule, ...]):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             n = len(texts)
-            offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4).astype(np.int64)
+            texts = texts.cast(pa.large_binary())  # one layout, whichever kind of strings the session sends
+            offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
             postings = index.postings(data, offsets)
             found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
             for number, (rule, pattern, query) in enumerate(zip(rules, patterns, queries, strict=True)):
                 for i in index.candidates(query, postings, n).tolist():
-                    found[i] += [(a, number, b) for a, b in spans_of(rule, pattern, texts[i].as_py())]
+                    found[i] += [(a, number, b) for a, b in spans_of(rule, pattern, texts[i].as_py().decode())]
             spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(spans, kind)], names=[*batch.schema.names[:-1], "secret_spans"])
@@ -209,17 +212,18 @@ def _scan(rules: tuple[Rule, ...]):
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
     """docs with secret_spans: kind, start and end (code points, end exclusive), by start, then in the rules' order.
 
-    Null or empty text: no spans. Repeated documents: each gets its own spans. Equal starts: the rule listed first
-    comes first. A column named secret_spans is replaced. Empty docs: no rows.
+    Null or empty text: no spans. Long texts are read whole. Bytes that are no UTF-8 count as U+FFFD. Repeated
+    documents: each gets its own spans. Equal starts: the rule listed first comes first. A column named secret_spans is
+    replaced, others may have any name. Empty docs: no rows.
     """
     docs = without(docs, "secret_spans", "__text")
-    out = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(_scan(rules), f"{kept}, secret_spans array<struct<kind:string,start:long,end:long>>")
+    out = docs.withColumn("__text", F.coalesce(F.make_valid_utf8("text"), F.lit("")).cast("binary"))
+    return out.mapInArrow(_scan(rules), with_fields(docs.schema, ("secret_spans", SPANS)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs (with secret_spans of find_secrets) whose spans read [SECRET]; overlapping spans are one."""
+    """docs (with secret_spans of find_secrets) whose spans read [SECRET]; overlapping spans are one, null texts stay null."""
+    docs = docs.withColumn("text", F.make_valid_utf8("text"))
     step = F.aggregate(
         "secret_spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
@@ -232,7 +236,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of each document."""
+    """doc_id, counts of the base kinds, base_sha256 and spans of each document; odd input as in find_secrets."""
     found = find_secrets(docs.select("doc_id", "text")).select("doc_id", "secret_spans")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda *kinds: F.filter("secret_spans", lambda s: s["kind"].isin(*kinds))
