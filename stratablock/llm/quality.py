@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from stratablock.llm.common import fold, without
+from stratablock.llm.common import fold, with_fields, without
 from stratablock.llm.toxicity import sample
 
-#: Bound of the training sample: rows of each class and bytes of a row that may enter.
-SAMPLE_ROWS, SAMPLE_DOC_BYTES = 1500, 8192
+#: Bound of the training sample: rows of each class, and characters of a row, from several places if it has more.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8192
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 4, 2, 32, 16
 #: Filter positions of half a chunk: a chunk is two neighbouring halves, so chunks overlap by half.
 HALF = 64
@@ -38,8 +39,10 @@ class ByteConvNet:
 
     @staticmethod
     def bytes_of(text: bytes | None) -> np.ndarray:
+        """The bytes, filled up with zeros so that the filters' last position ends with the last byte or after it."""
         raw = np.frombuffer(text or b"", np.uint8)
-        return np.concatenate((raw, np.zeros(WIDTH - len(raw), np.uint8))) if len(raw) < WIDTH else raw
+        more = max(WIDTH - len(raw), -(len(raw) - WIDTH) % STEP)
+        return np.concatenate((raw, np.zeros(more, np.uint8))) if more else raw
 
     def halves(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filter maxima of each half chunk (before bias and ReLU, which keep the order), and their positions."""
@@ -164,22 +167,23 @@ def _score(model: ByteConvNet):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ByteConvNet:
-    return ByteConvNet().train(sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_DOC_BYTES))
+    return ByteConvNet().train(sample(docs, labels, "quality", SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def score_quality(docs: DataFrame, model: ByteConvNet) -> DataFrame:
     """docs with score (0 to 1) of each whole text.
 
-    Null or empty text: scored as four zero bytes, as are texts of fewer bytes once filled up. Repeated rows: each its
-    own. A column named score is replaced. Trained on one class alone or nothing: every score is one half.
+    Null or empty text: scored as four zero bytes, as are texts of fewer bytes once filled up. Long texts count whole,
+    part by part; bytes that are no UTF-8 count as they are. Repeated rows: each its own. A column named score is
+    replaced, others may have any name. Trained on one class alone or nothing: every score is one half. Empty docs: no
+    rows.
     """
     docs = without(docs, "score", "__text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), f"{kept}, score double")
+    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), with_fields(docs.schema, ("score", DoubleType())))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.3) of each document."""
+    """doc_id, held_out, score and predicted (score >= 0.3) of each document; odd input as in sample and score_quality."""
     held = fold(F.col("doc_id"), 5) == 0
     model = train(docs.where(~held), labels)
     narrow = docs.select("doc_id", held.alias("held_out"), "text")
