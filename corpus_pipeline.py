@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratablock.llm import decontamination, language, mixing, sharding, simhash
-from stratablock.llm.common import forget, materialize, table
+from stratablock.llm.common import forget, forget_since, materialize, steps, table
 
 SHARDS = 40
 
@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects.
 
     Null, empty and letterless texts and narrow margins are rejected; without labelled rows to learn from, all are.
-    Repeated rows stay or go together. Long texts count whole. An empty table stays empty.
+    Repeated rows stay or go together. Long texts count whole. Columns may have any name. An empty table stays empty.
     """
     return language.drop_rejected(docs)
 
@@ -28,7 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that of the least doc_id (null ids last), repeated rows once.
 
-    Null, empty and wordless texts form one group. An empty table stays empty.
+    Null, empty and wordless texts form one group. Long texts count whole. Columns may have any name. An empty table stays
+    empty.
     """
     return simhash.drop_near_duplicates(docs)
 
@@ -37,6 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops the documents that hold a window of the benchmark.
 
     Null, empty and wordless texts stay, as does everything if the benchmark is empty. Repeated rows stay or go together.
+    Long texts count whole. Columns may have any name. An empty table stays empty.
     """
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -45,13 +47,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document up to three times, so that sources have their target weights.
 
     Null sources are one source. Null and empty texts have no words and are drawn like others. Repeated rows share
-    their copies. Reruns agree.
+    their copies. Long texts count whole. Columns may have any name. An empty table stays empty. Reruns agree.
     """
     return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shuffles the documents into shards of equal numbers of rows (at most one apart), with nulls and repeated rows like any."""
+    """Shuffles the documents into shards of equal numbers of rows (at most one apart).
+
+    Nulls are like any value. Repeated rows, as the mix makes them, are dealt each on its own. Long texts move whole.
+    Columns named shard or slot are replaced, others may have any name. An empty table stays empty.
+    """
     return sharding.shuffle_into_shards(docs, SHARDS)
 
 
@@ -71,6 +77,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        there, before = steps(), docs
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        forget_since(there, docs)
         forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
