@@ -19,7 +19,7 @@ from stratablock.llm.common import fold, with_fields, without
 from stratablock.llm.toxicity import sample
 
 #: Bound of the training sample: rows of each class, and characters of a row, from several places if it has more.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8192
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2048
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 4, 2, 32, 16
 #: Filter positions of half a chunk: a chunk is two neighbouring halves, so chunks overlap by half.
 HALF = 64
