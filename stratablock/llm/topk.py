@@ -47,7 +47,8 @@ def decode(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, li
         matrix = np.zeros((len(lengths), width))
         matrix[np.arange(width) < lengths.clip(0)[:, None]] = values
     known &= np.isfinite(matrix).all(axis=1)
-    large = known & (np.square(np.abs(matrix).max(axis=1, initial=0) * SCALE) * width >= EXACT)
+    with np.errstate(over="ignore", invalid="ignore"):  # infinity is large as well
+        large = known & (np.square(np.abs(matrix).max(axis=1, initial=0) * SCALE) * width >= EXACT)
     known &= ~large
     apart = [(ids[i].as_py(), [whole(x) for x in matrix[i].tolist()]) for i in np.flatnonzero(large).tolist()]
     return np.asarray(ids.filter(pa.array(known)).to_numpy(zero_copy_only=False), dtype=np.int64), np.floor(SCALE * matrix[known]), apart
