@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratablock.llm.common import fold, materialize
+from stratablock.llm.common import REPEAT, fold, materialize, repeat_rows
 
 #: Bounds of what the driver and each worker hold: head words, words that move between classes, classes.
 HEAD, CLUSTERED, CLASSES = 250_000, 1000, 64
@@ -345,8 +345,9 @@ def train(texts: DataFrame, head_most: int = HEAD, clustered: int = CLUSTERED, c
 def score_texts(docs: DataFrame, model: ClassModel, tail: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of docs(doc_id, text).
 
-    Null or empty text: the end alone. Repeated rows: each its own, with equal scores. Nothing to learn from: every
-    base term is log10(1) = 0 and the score is that of the only smoothing. Empty docs: no rows.
+    Null or empty text: the end alone. Long texts count whole, bytes that are no UTF-8 as parts of words. Repeated rows:
+    each its own, with equal scores. Nothing to learn from: every base term is log10(1) = 0 and the score is that of
+    the only smoothing. Empty docs: no rows. Other columns take no part.
     """
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.col("text").cast("binary"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -359,7 +360,10 @@ def score_texts(docs: DataFrame, model: ClassModel, tail: DataFrame) -> DataFram
     )
     summed = joined.groupBy("doc_id", "mark").agg(*[F.sum(s).alias(s) for s in STATS])
     each = [(F.col(s) / F.col("rows")).cast("double" if "score" in s else "long").alias(s) for s in STATS[1:]]
-    out = summed.select("doc_id", *each, F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
+    summed = summed.select("doc_id", "mark", "rows", *each)
+    often = repeat_rows(summed.where(F.col("rows") > REPEAT), "rows", ["doc_id", "mark"]).select("doc_id", *STATS[1:])
+    seldom = summed.where(F.col("rows") <= REPEAT).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    out = seldom.select("doc_id", *STATS[1:]).unionByName(often)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -368,7 +372,7 @@ def perplexity() -> F.Column:
 
 
 def language_model_digest(docs: DataFrame) -> DataFrame:
-    """score_texts of all documents with held_out; learnt from the rest."""
+    """score_texts of all documents with held_out, and perplexity; learnt from the rest. Odd input as in score_texts."""
     held = fold(F.col("doc_id"), 5) == 1
     model, tail = train(docs.where(~held).select(F.col("text").cast("binary").alias("text")))
     scored = score_texts(docs.select("doc_id", "text"), model, tail)
