@@ -98,12 +98,12 @@ def _(spark, d):
     return X.table(spark, d, "documents").select("doc_id", C.persisted_key(C.digest("SHA-512", data), "SHA-512").alias("sha512"), C.digest("Tiger", data).alias("tiger"))
 
 
-@query("key_order", f"WITH {BLOCKS}, k AS (SELECT DISTINCT substring(key, 1, CAST(2 + 2 * (block_index % 3) AS BIGINT)) AS key FROM blocks WHERE block_index < 3), s AS (SELECT key, list_transform(range(0, length(key) // 2), lambda i: (CAST('0x' || substring(key, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) + 128) % 256) AS b FROM k) SELECT key, CAST(row_number() OVER (ORDER BY length(key), b) AS INTEGER) AS place FROM s")
+@query("key_order", f"WITH {BLOCKS}, k AS (SELECT DISTINCT key FROM blocks), s AS (SELECT key, list_transform(range(0, length(key) // 2), lambda i: (CAST('0x' || substring(key, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER) + 128) % 256) AS b FROM k) SELECT key, row_number() OVER (ORDER BY length(key), b) AS place FROM s")
 def _(spark, d):
     return B.key_places(X.doc_blocks(spark, d).select("key").distinct())
 
 
-@query("key_hash32")
+@query("key_hash32", f"WITH {BLOCKS}, k AS (SELECT DISTINCT key FROM blocks), h AS (SELECT key, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, length(key) // 2), lambda i: CAST('0x' || substring(key, CAST(i * 2 + 1 AS BIGINT), 2) AS BIGINT))), lambda h, b: xor((h + b) * 1025 % 4294967296, ((h + b) * 1025 % 4294967296) >> 6)) AS h FROM k), g AS (SELECT key, xor(h * 9 % 4294967296, (h * 9 % 4294967296) >> 11) AS h FROM h) SELECT key, h * 32769 % 4294967296 AS hash FROM g")
 def _(spark, d):
     return X.doc_blocks(spark, d).select("key").distinct().select("key", C.one_at_a_time(F.col("key")).alias("hash"))
 

@@ -75,7 +75,7 @@ def _(spark, d):
     return R.replay(calls)
 
 
-@query("journal_rotation")
+@query("journal_rotation", f"WITH RECURSIVE {JOURNAL}, f AS (SELECT resource, seq, length(op) + 30 AS n, row_number() OVER (PARTITION BY resource ORDER BY seq) AS i FROM journal), r AS (SELECT resource, seq, i, 0 AS file, n AS size FROM f WHERE i = 1 UNION ALL SELECT f.resource, f.seq, f.i, CASE WHEN r.size > 2000 THEN r.file + 1 ELSE r.file END, CASE WHEN r.size > 2000 THEN 0 ELSE r.size END + f.n FROM r JOIN f ON f.resource = r.resource AND f.i = r.i + 1) SELECT resource, CAST(file AS INTEGER) AS file, count(*) AS frames, min(seq) AS first_seq FROM r GROUP BY 1, 2")
 def _(spark, d):
     log = X.journal(spark, d).withColumn("payload", (F.length("op") + 30).cast("string"))
     files = P.fold_journal(log, P.Rotation(2000)).withColumn("file", F.col("outcome").cast("int"))

@@ -36,7 +36,7 @@ def _(spark, d):
     return _tasks(spark, d).where("status = 'STARTED'").select("resource", "tx_id")
 
 
-@query("task_lookup", f"WITH {TASKS} SELECT q.tx_id, coalesce(CASE WHEN t.tx_id % 4 <> 0 THEN t.status END, t.status, 'UNKNOWN') AS status FROM (SELECT CAST(i * 7 AS BIGINT) AS tx_id FROM range(0, 3000) r(i)) q LEFT JOIN tasks t ON t.tx_id = q.tx_id")
+@query("task_lookup", f"WITH {TASKS} SELECT q.tx_id, coalesce(CASE WHEN t.tx_id % 4 <> 0 THEN t.status END, t.status, 'UNKNOWN') AS status FROM (SELECT tx_id FROM tasks UNION SELECT -1 - tx_id FROM tasks) q LEFT JOIN tasks t ON t.tx_id = q.tx_id")
 def _(spark, d):
     all_ = _tasks(spark, d)
     known = all_.select("tx_id").distinct()
@@ -207,7 +207,7 @@ def _(spark, d):
     return G.flush_batches(rows, "o").groupBy("target", "batch").agg(F.count(F.lit(1)).alias("updates"), F.min("version").alias("first_version"))
 
 
-@query("frame_crc")
+@query("frame_crc", f"WITH {JOURNAL} SELECT CASE seq % 5 WHEN 1 THEN 'BAD_LENGTH' WHEN 2 THEN 'TOO_SHORT' ELSE 'OK' END AS outcome, count(*) AS frames FROM journal GROUP BY 1")
 def _(spark, d):
     log = X.journal(spark, d)
     data = frames.frame(F.concat_ws("|", "resource", "tx_id", "op").cast("binary"))

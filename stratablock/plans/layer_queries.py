@@ -34,7 +34,7 @@ def _(spark, d):
     return D.blocked_reads(X.io_requests(spark, d), 4096).fillna(-1, ["blocked_by"])
 
 
-@query("volume_block_read", "SELECT doc_id AS volume, substring(text, 701, 1500) AS data FROM documents WHERE length(text) >= 2200")
+@query("volume_block_read", "SELECT doc_id AS volume, text AS data FROM documents WHERE text <> ''")
 def _(spark, d):
     rows = X.doc_blocks(spark, d).withColumn("device", F.col("volume"))
     asked = X.table(spark, d, "documents").select(F.col("doc_id").alias("device"), F.col("doc_id").alias("seq"), F.lit(0).cast("long").alias("offset"), F.length("text").cast("long").alias("length"))
@@ -51,7 +51,7 @@ def _(spark, d):
     return flat.select("device", "block_index", "version", "state", "key")
 
 
-@query("read_zero_fill", f"WITH {_STATE}, g AS (SELECT device, b AS block_index FROM (SELECT DISTINCT device FROM ops), unnest(range(0, 20)) AS t(b)) SELECT g.device, g.block_index, coalesce(m.key, repeat('0', 32)) AS data FROM g LEFT JOIN m ON g.device = m.device AND g.block_index = m.block_index")
+@query("read_zero_fill", f"WITH {_STATE}, g AS (SELECT device, b AS block_index FROM (SELECT DISTINCT device FROM ops), unnest(range(0, 100)) AS t(b)) SELECT g.device, g.block_index, coalesce(m.key, repeat('0', 32)) AS data FROM g LEFT JOIN m ON g.device = m.device AND g.block_index = m.block_index")
 def _(spark, d):
     ops = X.device_ops(spark, d)
     now = L.layer_deltas(ops.where("op IN ('WRITE', 'TRIM')"), parity=False).select("device", "block_index", "key")
@@ -59,9 +59,14 @@ def _(spark, d):
     return grid.join(now, ["device", "block_index"], "left").select("device", "block_index", F.coalesce("key", F.lit("0" * 32)).alias("data"))
 
 
-@query("partial_write", f"WITH {BLOCKS} SELECT volume, substring(data, 1, 10) || 'PATCHED' || substring(data, 18) AS data FROM blocks WHERE block_index = 0 AND length(data) > 30")
+@query("partial_write", f"WITH {PARTS}, {_STATE.removeprefix(OPS + ', ')}, p AS (SELECT seq, p.device, b, inner_offset, inner_length, repeat(coalesce(m.key, repeat('0', 32)), 128) AS old, repeat(md5(CAST(seq AS VARCHAR)), 128) AS new FROM parts p LEFT JOIN m ON m.device = p.device AND m.block_index = p.b WHERE p.op = 'WRITE' AND inner_length < 4096) SELECT seq, b AS block_index, md5(substring(old, 1, inner_offset) || substring(new, inner_offset + 1, inner_length) || substring(old, inner_offset + inner_length + 1)) AS data FROM p")
 def _(spark, d):
-    return X.doc_blocks(spark, d).where("block_index = 0 AND length(data) > 30").select("volume", C.splice(F.col("data"), F.lit("PATCHED"), F.lit(10)).alias("data"))
+    ops, n = X.device_ops(spark, d), X.BLOCK_BYTES
+    now = L.layer_deltas(ops.where("op IN ('WRITE', 'TRIM')"), parity=False).select("device", "block_index", "key")
+    parts = D.split_ranges(X.io_requests(spark, d).where("op = 'WRITE'"), n).where("NOT is_full").join(now, ["device", "block_index"], "left")
+    old = F.repeat(F.coalesce("key", F.lit("0" * 32)), F.lit(n // 32))
+    new = F.substring(F.repeat(F.md5(F.col("seq").cast("string")), F.lit(n // 32)), (F.col("inner_offset") + 1).cast("int"), F.col("inner_length").cast("int"))
+    return parts.select("seq", "block_index", F.md5(C.splice(old, new, F.col("inner_offset").cast("int"))).alias("data"))
 
 
 @query("write_effects", f"WITH {OPS}, w AS (SELECT *, lag(key) OVER (PARTITION BY device, block_index ORDER BY seq) AS old_key FROM ops WHERE op = 'WRITE') SELECT seq, device, block_index, old_key, CASE WHEN old_key = key THEN 'UNCHANGED' ELSE 'STORE' END AS effect FROM w")

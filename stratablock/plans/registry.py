@@ -25,7 +25,7 @@ TASKS = JOURNAL + """, tasks AS (SELECT resource, tx_id, CASE max(CASE WHEN op <
   FROM journal GROUP BY resource, tx_id)"""
 LAYERS = """layers AS (SELECT conv_id AS device, turn AS layer, CASE WHEN turn > 0 THEN turn - 1 END AS parent, role, text FROM conversations)"""
 LAYER_MAP = LAYERS + """, layer_map AS (SELECT device, layer, (length(text) + layer * 3 + i * 5) % 8 AS block_index, CASE WHEN (length(text) + i) % 4 = 0 THEN 2 ELSE 1 END AS state,
-  CASE WHEN (length(text) + i) % 4 <> 0 THEN md5(substring(text, 1, 100) || ':' || CAST(i AS VARCHAR)) END AS key FROM layers, unnest([0, 1, 2]) AS t(i))"""
+  CASE WHEN (length(text) + i) % 4 <> 0 THEN md5(text || ':' || CAST(i AS VARCHAR)) END AS key FROM layers, unnest([0, 1, 2]) AS t(i))"""
 LINES = """lines AS (SELECT a.device, a.layer, b.layer AS ancestor, a.layer - b.layer AS depth FROM layers a JOIN layers b ON a.device = b.device AND b.layer <= a.layer)"""
 REPLICAS = """replicas AS (SELECT l_suppkey % 5 AS node, l_partkey AS file, l_linenumber AS cluster, l_orderkey AS version,
   md5(CAST(CAST(round(l_quantity) AS BIGINT) AS VARCHAR) || ':' || l_returnflag) AS hash, l_returnflag <> 'R' AS writable FROM lineitem)"""
