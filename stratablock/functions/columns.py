@@ -196,6 +196,12 @@ def iscsi_name_is_valid(name: Column) -> Column:
     return F.coalesce(iqn | name.rlike("^eui\\.[0-9A-Fa-f]{16}$"), F.lit(False))
 
 
+def iscsi_alias_is_valid(alias: Column) -> Column:
+    """At most 255 bytes of UTF-8, the last of which is 0 if there are 255; no alias is valid."""
+    n = F.octet_length(alias)
+    return alias.isNull() | (n < 255) | ((n == 255) & (F.hex(F.right(alias.cast("binary").cast("string"), F.lit(1))) == "00"))
+
+
 def port_is_valid(port: Column) -> Column:
     return (port >= 1024) & (port <= 65535)
 

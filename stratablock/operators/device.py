@@ -40,6 +40,19 @@ def writes(requests: DataFrame, block_map: DataFrame) -> DataFrame:
     return rows.withColumn("old_key", before).withColumn("effect", F.when(F.col("key").eqNullSafe(F.col("old_key")), "UNCHANGED").otherwise("STORE")).drop("mapped")
 
 
+def write_outcomes(parts: DataFrame, failed: str) -> DataFrame:
+    """parts(device, seq, block_index, ...) of writes with outcome: a write of several blocks that fails at one is undone.
+
+    Blocks are written in order. In a request where `failed` holds of a block, the first such block FAILED, those before
+    it are REVERTED to what they held, those after it are NOT_WRITTEN; all blocks of other requests are STORED.
+    """
+    first = parts.where(failed).groupBy("device", "seq").agg(F.min("block_index").alias("_first"))
+    rows = parts.join(first, ["device", "seq"], "left")
+    at, stop = F.col("block_index"), F.col("_first")
+    outcome = F.when(stop.isNull(), "STORED").when(at < stop, "REVERTED").when(at == stop, "FAILED").otherwise("NOT_WRITTEN")
+    return rows.withColumn("outcome", outcome).drop("_first")
+
+
 def blocked_reads(requests: DataFrame, block_size: int) -> DataFrame:
     """For each read the latest earlier write or trim that shares a block with it. Requests are split by block, so this is a running maximum per block, not a join of ranges."""
     parts = split_ranges(requests, block_size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratablock.functions.columns import DONE_STATES, is_quorum
+from stratablock.operators.generations import running_index
 
 
 def tasks(journal: DataFrame) -> DataFrame:
@@ -138,3 +139,24 @@ def catch_up(states: DataFrame) -> DataFrame:
 def status_steps(events: DataFrame) -> DataFrame:
     """Current member state from events(node, seq, kind): the last event counts."""
     return events.groupBy("node").agg(F.max_by("kind", "seq").alias("kind"), F.count(F.lit(1)).alias("events"))
+
+
+def submit(requests: DataFrame, registered: int) -> DataFrame:
+    """status and tx_id of each of requests(task, online, cancelled), in order of their whole-number task ids.
+
+    A request that is cancelled while it waits is CANCELLED; without a quorum online it is ROLLED_BACK before it starts;
+    all others are PENDING and get the next transaction ids, gapless from 1.
+    """
+    status = F.when(F.col("cancelled"), "CANCELLED").when(~is_quorum(F.col("online"), F.lit(registered)), "ROLLED_BACK").otherwise("PENDING")
+    rows = requests.withColumn("status", status)
+    waiting = running_index(rows.where("status = 'PENDING'"), "task").withColumnRenamed("n", "tx_id")
+    return waiting.unionByName(rows.where("status <> 'PENDING'").withColumn("tx_id", F.lit(None).cast("long")))
+
+
+def preferred_sources(late: DataFrame, creators: DataFrame, connected: DataFrame) -> DataFrame:
+    """late(resource, node, source, ...) with the node that created the resource as its source, if that is connected to the late node and another."""
+    asked = late.join(creators.select("resource", "creator"), "resource", "left")
+    there = connected.select("node", F.col("peer").alias("creator"), F.lit(True).alias("there")).distinct()
+    asked = asked.join(there, ["node", "creator"], "left")
+    own = F.coalesce(F.col("there"), F.lit(False)) & (F.col("creator") != F.col("node"))
+    return asked.withColumn("source", F.when(own, F.col("creator")).otherwise(F.col("source"))).drop("creator", "there")

@@ -7,6 +7,7 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 class BlockSource(Protocol):
@@ -74,6 +75,39 @@ class Rotation:
         return (file, size + int(payload)), str(file)
 
 
+class Batches:
+    """Batches of messages: one ends after `most` of them or `seconds` after its first, whichever comes first; the outcome is its number."""
+
+    def __init__(self, most: int = 64, seconds: float = 5):
+        self.most, self.seconds = most, seconds
+
+    def start(self, resource: Any) -> tuple[int, int, float]:
+        return 0, 0, 0.0
+
+    def apply(self, state: tuple[int, int, float], op: str, payload: Any) -> tuple[tuple[int, int, float], str]:
+        batch, n, since = state
+        at = float(payload)
+        if n and (n >= self.most or at - since >= self.seconds):
+            batch, n = batch + 1, 0
+        return (batch, n + 1, since if n else at), str(batch)
+
+
+class BlockCodec:
+    """An ElementCodec: a state byte, the key's length and the key, as hex; trimmed blocks have no key."""
+
+    def encode(self, element: Column) -> Column:
+        key = F.coalesce(element["key"], F.lit(""))
+        return F.concat(F.lpad(F.hex(element["state"]), 2, "0"), F.lpad(F.hex((F.length(key) / 2).cast("int")), 4, "0"), key)
+
+    def decode(self, stored: Column) -> Column:
+        key = F.substring(stored, F.lit(7), F.length(stored))
+        return F.struct(F.conv(F.substring(stored, 1, 2), 16, 10).cast("int").alias("state"), F.when(F.length(key) > 0, key).alias("key"))
+
+    def is_valid(self, stored: Column) -> Column:
+        state, n = F.conv(F.substring(stored, 1, 2), 16, 10).cast("int"), F.conv(F.substring(stored, 3, 4), 16, 10).cast("int")
+        return F.coalesce((F.length(stored) == 6 + 2 * n) & state.isin(1, 2) & ((state == 1) == (n > 0)), F.lit(False))
+
+
 class Prepare:
     """The order of a participant: only the transaction after the last prepared one may prepare, and only once that one ended."""
 

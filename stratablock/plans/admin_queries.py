@@ -154,3 +154,10 @@ def _(spark, d):
     t = X.tree(spark, d)
     back = F.from_json(F.to_json(F.struct("uuid", "name", "kind")), "uuid string, name string, kind string")
     return t.select(back.alias("j")).select("j.uuid", "j.name", "j.kind")
+
+
+@query("target_aliases", "SELECT c_custkey, (c_custkey % 5 = 4) OR octet_length(encode(alias)) < 255 OR (octet_length(encode(alias)) = 255 AND c_custkey % 5 = 3) AS valid FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN repeat('é', 127) WHEN 2 THEN repeat('é', 127) || 'x' WHEN 3 THEN repeat('é', 127) || chr(0) END AS alias FROM customer)")
+def _(spark, d):
+    k, e = F.col("c_custkey") % 5, "é" * 127
+    alias = F.when(k == 0, F.col("c_name")).when(k == 1, e).when(k == 2, e + "x").when(k == 3, e + "\0")
+    return X.table(spark, d, "customer").select("c_custkey", C.iscsi_alias_is_valid(alias).alias("valid"))

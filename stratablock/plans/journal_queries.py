@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from stratablock.operators import generations as G
 from stratablock.operators import journal as J
 from stratablock.operators import replicas as R
+from stratablock.operators import plugins as P
 from stratablock.plans import fixtures as X
-from stratablock.plans.registry import JOURNAL, REPLICAS, TASKS, query
+from stratablock.plans.registry import JOURNAL, OPS, REPLICAS, TASKS, query
 from stratablock.sources import frames
 
 #: A fixed "now" for retention, as days since 1970.
@@ -225,3 +226,31 @@ def _(spark, d):
 @query("backup_shift", "SELECT CAST(i AS BIGINT) AS rank, CAST(i + 1 AS BIGINT) AS new_rank FROM range(1, 12) t(i)")
 def _(spark, d):
     return frames.shift_backups(spark.range(1, 12).select(F.col("id").alias("rank")))
+
+
+@query("task_submit", "WITH s AS (SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'P' THEN 'CANCELLED' WHEN o_custkey % 4 <= 1 THEN 'ROLLED_BACK' ELSE 'PENDING' END AS status FROM orders) SELECT task, status, CASE WHEN status = 'PENDING' THEN row_number() OVER (PARTITION BY status ORDER BY task) END AS tx_id FROM s")
+def _(spark, d):
+    asked = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("task"), (F.col("o_custkey") % 4).alias("online"), (F.col("o_orderstatus") == "P").alias("cancelled"))
+    return J.submit(asked, 3).select("task", "status", "tx_id")
+
+
+@query("catch_up_from_creator", f"WITH {_STATES}, b AS (SELECT resource, max(node) AS source, max(tx_id) AS target_tx FROM states s WHERE tx_id = (SELECT last_tx FROM top t WHERE t.resource = s.resource) GROUP BY resource) SELECT s.resource, s.node, CASE WHEN s.resource % 5 <> s.node AND (s.node + s.resource % 5) % 3 <> 0 THEN s.resource % 5 ELSE b.source END AS source FROM states s JOIN b ON s.resource = b.resource WHERE s.tx_id < b.target_tx")
+def _(spark, d):
+    states = _states(spark, d)
+    creators = states.select("resource", (F.col("resource") % 5).alias("creator")).distinct()
+    nodes = states.select("node").distinct()
+    # Five nodes; two are connected unless the sum of their numbers is divisible by three.
+    connected = nodes.withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).where("(node + peer) % 3 <> 0")
+    return J.preferred_sources(J.catch_up(states), creators, connected).select("resource", "node", "source")
+
+
+@query("update_batches_by_time", f"""WITH RECURSIVE {OPS}, w AS (SELECT device % 5 AS target, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY device % 5 ORDER BY seq) AS i FROM ops WHERE op = 'WRITE'),
+  r AS (SELECT target, i, t AS since, 1 AS n, 0 AS batch FROM w WHERE i = 1
+    UNION ALL SELECT w.target, w.i, CASE WHEN n >= 64 OR w.t - since >= 86400 THEN w.t ELSE since END, CASE WHEN n >= 64 OR w.t - since >= 86400 THEN 1 ELSE n + 1 END,
+      batch + CASE WHEN n >= 64 OR w.t - since >= 86400 THEN 1 ELSE 0 END FROM r JOIN w ON w.target = r.target AND w.i = r.i + 1)
+  SELECT target, CAST(batch AS INTEGER) AS batch, count(*) AS updates FROM r GROUP BY 1, 2""")
+def _(spark, d):
+    writes = X.device_ops(spark, d).where("op = 'WRITE'")
+    rows = writes.select((F.col("device") % 5).alias("resource"), "seq", "op", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("payload"))
+    done = P.fold_journal(rows, P.Batches(64, 86_400))
+    return done.groupBy(F.col("resource").alias("target"), F.col("outcome").cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("updates"))

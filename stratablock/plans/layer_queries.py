@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratablock.functions import columns as C
 from stratablock.operators import device as D
 from stratablock.operators import layers as L
+from stratablock.operators import plugins as P
 from stratablock.plans import fixtures as X
 from stratablock.plans.registry import BLOCKS, LAYER_MAP, LAYERS, LINES, OPS, PARTS, REQUESTS, TREE, query
 from stratablock.sources import headers as H
@@ -261,3 +262,30 @@ def _(spark, d):
 def _(spark, d):
     rows = L.with_epochs(X.device_ops(spark, d)).where("op = 'WRITE'")
     return rows.groupBy("device", "epoch", F.floor(F.col("block_index") / 17).alias("l2")).agg(F.min("seq").alias("allocated_at"))
+
+
+@query("write_revert", f"WITH {PARTS}, f AS (SELECT seq, min(b) AS stop FROM parts WHERE op = 'WRITE' AND b % 7 = 3 GROUP BY seq) SELECT p.seq, b AS block_index, CASE WHEN stop IS NULL THEN 'STORED' WHEN b < stop THEN 'REVERTED' WHEN b = stop THEN 'FAILED' ELSE 'NOT_WRITTEN' END AS outcome FROM parts p LEFT JOIN f ON f.seq = p.seq WHERE op = 'WRITE'")
+def _(spark, d):
+    parts = D.split_ranges(X.io_requests(spark, d).where("op = 'WRITE'"), X.BLOCK_BYTES)
+    return D.write_outcomes(parts, "block_index % 7 = 3").select("seq", "block_index", "outcome")
+
+
+@query("element_codec", f"WITH {LAYER_MAP} SELECT device, layer, block_index, state, key, true AS valid, strlen(coalesce(key, '')) + 6 AS digits FROM layer_map")
+def _(spark, d):
+    codec = P.BlockCodec()
+    stored = X.layer_map(spark, d).withColumn("stored", codec.encode(F.struct("state", "key"))).drop("state", "key")
+    return stored.select("device", "layer", "block_index", codec.decode(F.col("stored"))["state"].alias("state"), codec.decode(F.col("stored"))["key"].alias("key"), codec.is_valid(F.col("stored")).alias("valid"), F.length("stored").cast("long").alias("digits"))
+
+
+@query("file_kinds", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'recording' WHEN 1 THEN 'buffer' WHEN 3 THEN 'layer' ELSE 'unknown' END AS kind FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey") % 5
+    version = lambda n: F.unhex(F.lpad(F.hex(F.lit(n)), 16, "0"))
+    data = (
+        F.when(k == 0, F.concat(F.lit("IBSR"), F.col("o_orderkey").cast("string")).cast("binary"))
+        .when(k == 1, F.concat(F.lit("REFDB").cast("binary"), version(1)))
+        .when(k == 2, F.concat(F.lit("REFDB").cast("binary"), version(2)))
+        .when(k == 3, F.concat(F.unhex(F.lit(H.MAGIC)), F.lit("x" * 100).cast("binary")))
+        .otherwise(F.lit("REF").cast("binary"))
+    )
+    return X.table(spark, d, "orders").select("o_orderkey", H.file_kind(data).alias("kind"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,6 +69,7 @@ def read_journal(spark: SparkSession, path: str, name: str = "journal") -> DataF
     rotated at a bounded size.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}*").load(path).select("path", "content")
+    files = files.where(F.regexp_like(F.element_at(F.split("path", "/"), -1), F.lit(f"^{re.escape(name)}(\\.[0-9]+)?$")))
     rank = F.coalesce(F.try_to_number(F.regexp_extract("path", r"\.(\d+)$", 1), F.lit("999999999")).cast("int"), F.lit(0))
     rows = files.mapInArrow(_read, "path string, at long, entry binary, error string")
     return rows.withColumn("rank", rank)
@@ -80,3 +82,64 @@ def log_order() -> Window:
 def shift_backups(files: DataFrame) -> DataFrame:
     """New names at a rotation: every rank moves up by one, from the highest down."""
     return files.select("rank", (F.col("rank") + 1).alias("new_rank")).orderBy(F.col("rank").desc())
+
+
+class Journal:
+    """A journal of one participant, written by the driver: entries are appended as frames to a live file of bounded size.
+
+    Once the live file has passed `threshold` bytes it becomes name.1 and older backups move up by one, from the
+    oldest down. The live file is replaced by a rename, so a reader sees it whole, before or after.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "journal", threshold: int = 1 << 20):
+        self.spark, self.path, self.name, self.threshold = spark, path.rstrip("/"), name, threshold
+
+    def _at(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _live(self) -> bytes:
+        fs, at = self._at(self.name)
+        if not fs.exists(at):
+            return b""
+        data = fs.open(at)
+        content = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(data))
+        data.close()
+        return content
+
+    def append(self, entries: Iterable[bytes]) -> int:
+        """Append entries in order, rotating where the size asks for it; returns how many rotations that took."""
+        live, rotations, fresh = bytearray(self._live()), 0, False
+        for entry in entries:
+            if not 0 < len(entry) < MOST:
+                raise ValueError("an entry has at least one byte and fewer than the bound")
+            if len(live) > self.threshold:
+                self._put(live)
+                self.rotate()
+                live, rotations = bytearray(), rotations + 1
+            body = struct.pack(">i", len(entry)) + entry
+            live += body + struct.pack(">q", zlib.crc32(body))
+            fresh = True
+        if fresh:
+            self._put(live)
+        return rotations
+
+    def _put(self, data: bytearray) -> None:
+        fs, new = self._at(f"_{self.name}.new")
+        out = fs.create(new, True)
+        out.write(data)
+        out.close()
+        at = self._at(self.name)[1]
+        fs.delete(at, False)
+        fs.rename(new, at)
+
+    def backups(self) -> list[int]:
+        """Ranks of the backups, from the oldest (highest) down."""
+        fs, folder = self._at("")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(re.escape(self.name) + r"\.(\d+)", n))), reverse=True)
+
+    def rotate(self) -> None:
+        for rank in [*self.backups(), 0]:
+            fs, at = self._at(f"{self.name}.{rank}" if rank else self.name)
+            fs.rename(at, self._at(f"{self.name}.{rank + 1}")[1])

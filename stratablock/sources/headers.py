@@ -59,3 +59,14 @@ def header_faults(rows: DataFrame) -> DataFrame:
     )
     capacity = l2_capacity(F.col("hash_size"))
     return rows.withColumns({"fault": fault, "blocks": blocks, "h1_bytes": h1_size(blocks, capacity)})
+
+
+#: How recordings and hot buffers begin, and the version of hot buffers.
+RECORDING, BUFFER, BUFFER_VERSION = "IBSR", "REFDB", 1
+
+
+def file_kind(data: Column) -> Column:
+    """recording, buffer (of the known version, 8 bytes big-endian after its magic), layer or unknown, by a file's first bytes."""
+    start = F.hex(F.substring(data, 1, LENGTH))
+    buffer = BUFFER.encode().hex().upper() + f"{BUFFER_VERSION:016X}"
+    return F.when(start.startswith(RECORDING.encode().hex().upper()), "recording").when(start.startswith(buffer), "buffer").when(start.startswith(MAGIC.upper()), "layer").otherwise("unknown")

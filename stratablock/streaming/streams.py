@@ -26,55 +26,74 @@ def dedupe(stream: DataFrame, *keys: str) -> DataFrame:
 
 
 class Rotation(StatefulProcessor):
-    """Counts writes of a store; a generation ends after `per_generation` of them. Emits the writes of each generation as they come."""
+    """Generations of a store's writes: one ends after `most` writes or `seconds` after its first, whichever comes first.
 
-    def __init__(self, per_generation: int):
-        self.per_generation = per_generation
+    Emits store, generation, and the writes, first and last seq that a micro-batch adds to it. Writes of one store in a
+    micro-batch are taken in order of seq; those of an earlier micro-batch came before. With a timer (processing time)
+    a generation that gets no more writes ends as well, so that it can be promoted.
+    """
+
+    def __init__(self, most: int, seconds: float | None = None, timer: bool = False):
+        self.most, self.seconds, self.timer = most, seconds, timer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", StructType([StructField("n", LongType())]))
+        self.handle = handle
+        self.state = handle.getValueState("open", StructType([StructField("generation", LongType()), StructField("n", LongType()), StructField("since", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = self.count.get()
-        n = found[0] if found is not None else 0
-        for batch in rows:
-            batch = batch.sort_values("seq")
-            place = n + pd.RangeIndex(len(batch)).to_numpy()
-            n += len(batch)
-            yield pd.DataFrame({"store": key[0], "seq": batch["seq"].to_numpy(), "generation": place // self.per_generation})
-        self.count.update((n,))
+        generation, n, since = self.state.get() if self.state.exists() else (0, 0, 0)
+        whole = pd.concat(list(rows)).sort_values("seq")
+        times = whole["ts"].astype("datetime64[us]").astype("int64").to_numpy() if self.seconds else [0] * len(whole)
+        out: dict[int, list[int]] = {}
+        for seq, at in zip(whole["seq"].tolist(), times, strict=True):
+            if n and (n >= self.most or (self.seconds and at - since >= self.seconds * 1_000_000)):
+                generation, n = generation + 1, 0
+            if not n:
+                since = int(at)
+                self._set_timer(timerValues)
+            n += 1
+            part = out.setdefault(generation, [0, seq, seq])
+            part[0], part[2] = part[0] + 1, seq
+        self.state.update((generation, n, since))
+        yield pd.DataFrame([(key[0], g, *part) for g, part in out.items()], columns=["store", "generation", "writes", "first_seq", "last_seq"])
+
+    def _set_timer(self, timerValues) -> None:
+        if self.timer and self.seconds:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(int(timerValues.getCurrentProcessingTimeInMs() + self.seconds * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        generation, n, _ = self.state.get()
+        if n:
+            self.state.update((generation + 1, 0, 0))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-class LastVersion(StatefulProcessor):
-    """Passes on the updates of a key that are above every version so far; older and repeated ones are dropped."""
+def rotate(stream: DataFrame, most: int, seconds: float | None = None, timer: bool = False) -> DataFrame:
+    """store, generation, writes, first_seq and last_seq of a stream of writes (store, seq, ts), as Rotation has them."""
+    mode = "ProcessingTime" if timer else "None"
+    return stream.groupBy("store").transformWithStateInPandas(Rotation(most, seconds, timer), "store long, generation long, writes long, first_seq long, last_seq long", "Append", mode)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version = handle.getValueState("version", StructType([StructField("v", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = self.version.get()
-        last = found[0] if found is not None else None
-        for batch in rows:
-            versions = batch["version"].sort_values()
-            fresh = versions if last is None else versions[versions > last]
-            if len(fresh):
-                last = int(fresh.iloc[-1])
-                yield pd.DataFrame({"file": [key[0]], "version": [last]})
-        if last is not None:
-            self.version.update((last,))
+def last_versions(stream: DataFrame) -> DataFrame:
+    """file and its newest version, of a stream of (file, version): older and repeated updates change nothing (output mode update)."""
+    return stream.groupBy("file").agg(F.max("version").alias("version"))
 
-    def close(self) -> None:
-        pass
 
+def promotion(store, stream: DataFrame, keep: int, checkpoint: str, seconds: float | None = None):
+    """A query that appends each micro-batch of blocks(data) as a hot generation and promotes all but the newest `keep`.
 
-def rotate_by_count(stream: DataFrame, per_generation: int) -> DataFrame:
-    """store, seq and generation of each write of a stream of (store, seq)."""
-    return stream.groupBy("store").transformWithStateInPandas(Rotation(per_generation), "store long, seq long, generation long", "Append", "None")
+    It ends when the source has no more (availableNow). A micro-batch that runs again finds its generation there. With
+    `seconds` generations are promoted, oldest first, only until that time is over; the rest stays hot.
+    """
 
+    def step(batch: DataFrame, number: int) -> None:
+        if number not in store.generations():
+            store.append(batch, number)
+        store.promote_oldest(keep, seconds)
 
-def last_versions(stream: DataFrame) -> DataFrame:
-    """file and version of the updates that count, of a stream of (file, version)."""
-    return stream.groupBy("file").transformWithStateInPandas(LastVersion(), "file long, version long", "Append", "None")
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()

@@ -80,3 +80,42 @@ def test_config(spark, tmp_path):
     config.store_properties(rows.where("name = 'port'"), out)
     assert {r["name"] for r in config.read_properties(spark, out).collect()} == {"port"}
     assert config.read_properties(spark, out + ".bak").count() == 6
+
+
+def test_journal_appends_and_rotates(spark, tmp_path):
+    log = frames.Journal(spark, str(tmp_path), threshold=200)
+    entries = [b"entry %d" % i * (1 + i % 3) for i in range(60)]
+    assert log.append(entries[:7]) + log.append(entries[7:50]) + log.append(entries[50:]) == len(log.backups()) > 2
+    (tmp_path / "journal.tmp").write_bytes(b"never read")
+    found = frames.read_journal(spark, str(tmp_path)).orderBy(F.col("rank").desc(), "at").collect()
+    assert [bytes(r["entry"]) for r in found] == entries and not any(r["error"] for r in found)
+    assert log.backups() == list(range(len(log.backups()), 0, -1)) and log.append([]) == 0
+    with pytest.raises(ValueError):
+        log.append([b""])
+
+
+def test_store_transactions(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "key string, data string")
+    s = store.BlockStore.create(spark, str(tmp_path / "store"), 2)
+    assert {tuple(r) for r in s.put(rows(("a", "1"), ("b", "2"))).collect()} == {("a", True), ("b", True)}
+    assert {tuple(r) for r in s.put(rows(("b", "2"), ("c", "3"))).collect()} == {("b", False), ("c", True)}
+    held = lambda: {tuple(r) for r in s.get(rows(*[(k, "") for k in "abcdx"])).collect()}
+    tx, other = s.begin(), s.begin()
+    s.tx_put(tx, rows(("d", "4"), ("x", "9")))
+    s.tx_drop(tx, rows(("x", "")))
+    s.tx_replace(tx, spark.createDataFrame([("a", "x", "7"), ("c", "c", "8")], "old_key string, key string, data string"))
+    s.tx_put(other, rows(("never", "0")))
+    s.rollback(other)
+    assert held() == {("a", "1"), ("b", "2"), ("c", "3")}
+    assert s.commit(tx) == 3
+    assert held() == {("b", "2"), ("c", "3"), ("d", "4"), ("x", "7")}
+    for gone in (tx, other, 99):
+        with pytest.raises(store.StoreError):
+            s.commit(gone)
+    assert s.promote_oldest(0) == 4 and not s.generations() and held() == {("b", "2"), ("c", "3"), ("d", "4"), ("x", "7")}
+    s.delete(rows(("b", "")))
+    assert held() == {("c", "3"), ("d", "4"), ("x", "7")}
+    s.append(spark.createDataFrame([("late",)], "data string"), 7)
+    assert store.BlockStore.open(spark, s.path, promote=True).generations() == [] and s.cold().count() == 4
+    s.append(spark.createDataFrame([("later",)], "data string"), 8)
+    assert s.promote_oldest(0, seconds=0) == 0 and s.generations() == [8]
