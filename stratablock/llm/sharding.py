@@ -101,11 +101,12 @@ def shuffle_into_shards(
         known = F.broadcast(json_rows(spark, known, "struct<h:bigint,g:bigint,sent:array<bigint>>"))  # at most HOT_SHARE rows
         often = keyed.join(known, ["h", "g"]).dropDuplicates(["h", "g"])
         keyed = keyed.join(known, ["h", "g"], "left_anti")
-    # Copies of one row lie in one block and are numbered there.
+    # Copies of one row lie in one block and are numbered there: one exchange by block serves both windows.
     copy = F.row_number().over(Window.partitionBy("__b", "h", "g").orderBy("h"))
     local = Window.partitionBy("__b").orderBy(_place(seed + 1), "h", "g", "copy")
     dealt = (
         keyed.withColumn("__b", block)
+        .repartition("__b")
         .withColumn("copy", copy.cast("long"))
         .withColumn("__r", F.row_number().over(local) - 1)
         .join(deal, "__b")
