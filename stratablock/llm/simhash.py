@@ -231,7 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ..
     # A root is a member of its own component.
     least = roots.join(per, F.col("node") == per["fp"]).groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("d"))
     names = least.join(per, F.col("root") == per["fp"]).select(F.col("root").alias("u"), F.least("least", "first").alias("m"), "d")
-    linked = _with_least(roots.select(F.col("root").alias("u"), F.col("node").alias("v")), names, roots.count())
+    # Dealt out by node first, as its few files can hold most members of a large component.
+    members = roots.select(F.col("root").alias("u"), F.col("node").alias("v")).repartition("v")
+    linked = _with_least(members, names, roots.count())
     linked = linked.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(names.select(F.col("u").alias("node"), F.col("m").alias("component")))
     labelled = per.join(linked, per["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "first").alias("component"))
     # Written out, so that both sides of the last join are plain shuffles and those of many copies can be split.
