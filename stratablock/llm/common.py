@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def with_fields(schema: StructType, *fields: tuple[str, DataType]) -> StructType
     return StructType([*schema.fields, *[StructField(name, kind) for name, kind in fields]])
 
 
+def map_text(df: DataFrame, text: Column, run: Callable, *fields: tuple[str, DataType]) -> DataFrame:
+    """df with the columns that run(batches) puts in the place of each batch's last column, the text; df's columns may have any name."""
+    rows = df.select(whole_row(df).alias("row"), text.alias("__text"))
+    out = rows.mapInArrow(run, with_fields(StructType([rows.schema["row"]]), *fields))
+    return out.select("row.*", *[name for name, _ in fields])
+
+
 def row_keys(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit hashes of a whole row, nulls and nested values included; rows differ in them but for a chance of 2**-128."""
     nested = (ArrayType, MapType, StructType)
