@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from stratablock.llm.common import ENGINE_SEED, excerpt, fold, with_fields, without
+from stratablock.llm.common import ENGINE_SEED, excerpt, fold, map_text, without
 
 #: Bound of the training sample: rows of each class, and characters of a row, from so many places if it has more.
 SAMPLE_ROWS, SAMPLE_CHARS, PIECES = 2000, 16384, 16
@@ -202,8 +202,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     are. Repeated rows: each its own. A column named score is replaced, others may have any name. Empty docs: no rows. With too few rows of a class to leave some out the mean ratio alone decides; without rows of both
     classes every score is one half.
     """
-    docs = without(docs, "score", "__text")
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), with_fields(docs.schema, ("score", DoubleType())))
+    return map_text(without(docs, "score"), F.col("text").cast("binary"), _score(model), ("score", DoubleType()))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
