@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from stratablock.llm.common import ENGINE_SEED, excerpt, fold, whole_row, with_fields, without
+from stratablock.llm.common import ENGINE_SEED, excerpt, fold, map_text, whole_row, without
 
 #: Bound of the training sample: documents of each language and of all, characters of a document, from so many places
 #: if it has more, and bytes of a dictionary and of all.
@@ -115,9 +115,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     code point, with margin 0. Long texts count whole. Bytes that are no UTF-8 count as U+FFFD. Repeated rows: each its
     own. Columns named as the results are replaced, others may have any name. Empty docs: no rows.
     """
-    docs = without(docs, "lang_pred", "score", "margin", "__text")
-    schema = with_fields(docs.schema, ("lang_pred", StringType()), ("score", DoubleType()), ("margin", DoubleType()))
-    return docs.withColumn("__text", F.make_valid_utf8("text").cast("binary")).mapInArrow(_predict(dictionaries), schema)
+    docs, fields = without(docs, "lang_pred", "score", "margin"), (("lang_pred", StringType()), ("score", DoubleType()), ("margin", DoubleType()))
+    return map_text(docs, F.make_valid_utf8("text").cast("binary"), _predict(dictionaries), *fields)
 
 
 def training_rows(docs: DataFrame) -> Column:
