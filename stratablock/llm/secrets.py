@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from stratablock.llm.common import with_fields, without
+from stratablock.llm.common import map_text, without
 
 #: Strings that one exact set may hold before the rest of a sequence starts a new one.
 EXACT_MOST = 64
@@ -216,9 +216,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
     documents: each gets its own spans. Equal starts: the rule listed first comes first. A column named secret_spans is
     replaced, others may have any name. Empty docs: no rows.
     """
-    docs = without(docs, "secret_spans", "__text")
-    out = docs.withColumn("__text", F.coalesce(F.make_valid_utf8("text"), F.lit("")).cast("binary"))
-    return out.mapInArrow(_scan(rules), with_fields(docs.schema, ("secret_spans", SPANS)))
+    text = F.coalesce(F.make_valid_utf8("text"), F.lit("")).cast("binary")
+    return map_text(without(docs, "secret_spans"), text, _scan(rules), ("secret_spans", SPANS))
 
 
 def redact(docs: DataFrame) -> DataFrame:
