@@ -198,7 +198,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     its tables once in each worker; all passes but the last run as jobs of their own, one after the other, and write
     the few texts that they hit, which the last pass joins.
     """
-    spark, docs = docs.sparkSession, without(docs, "n_words", "hit_spans", "items", "__text")
+    spark, docs = docs.sparkSession, without(docs, "n_words", "hit_spans", "items")
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         rows = docs.where("text IS NOT NULL").select(*key, text)
         others.append(materialize(search(rows, p, True).drop("n_words").dropDuplicates(keys), "hits"))
     if not others:
-        return search(docs.select("*", text), 0, False)
+        return search(docs.select(whole_row(docs).alias("row"), text), 0, False).select("row.*", *[name for name, _ in RESULTS])
     hits = reduce(DataFrame.unionByName, others).groupBy(keys).agg(F.flatten(F.collect_list("hit_spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
     last = search(docs.select(whole_row(docs).alias("row"), *key, text), 0, False).join(materialize(hits, "hits"), keys, "left")
     merged = F.array_sort(F.concat("hit_spans", F.coalesce("__spans", F.array().cast(SPANS))))
