@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from stratablock.llm.common import fold, with_fields, without
+from stratablock.llm.common import fold, map_text, without
 from stratablock.llm.toxicity import sample
 
 #: Bound of the training sample: rows of each class, and characters of a row, from several places if it has more.
@@ -178,8 +178,7 @@ def score_quality(docs: DataFrame, model: ByteConvNet) -> DataFrame:
     replaced, others may have any name. Trained on one class alone or nothing: every score is one half. Empty docs: no
     rows.
     """
-    docs = without(docs, "score", "__text")
-    return docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(_score(model), with_fields(docs.schema, ("score", DoubleType())))
+    return map_text(without(docs, "score"), F.col("text").cast("binary"), _score(model), ("score", DoubleType()))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
