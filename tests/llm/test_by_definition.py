@@ -205,8 +205,8 @@ def test_inclusion_frequencies_of_the_cube():
         mixing.settle(pi, size, list(range(len(size))), random.Random(seed))
         assert all(p in (0.0, 1.0) for p in pi)
         means = [m + p / runs for m, p in zip(means, pi, strict=True)]
-    # Units that only the flight decides keep their means; what landing shifts falls to the smallest units.
-    assert all(abs(m - p) < 0.02 for m, p in zip(means[:4], start[:4], strict=True)), means
+    # What landing owes is taken off open probabilities, which are cut at 0 and 1: the last unit's mean moves by 0.03, no other's by 0.01.
+    assert all(abs(m - p) < (0.015 if i < 7 else 0.045) for i, (m, p) in enumerate(zip(means, start, strict=True))), means
     assert abs(sum(m * s for m, s in zip(means, size, strict=True)) - sum(p * s for p, s in zip(start, size, strict=True))) < 1.0
 
 

@@ -1,12 +1,13 @@
 """Every operator and every stage over nulls in any column, empty, short and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratablock.llm import decontamination, language, language_model, mixing, quality, secrets, sharding, simhash, topk, toxicity
+from stratablock.llm import common, decontamination, language, language_model, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -187,3 +188,89 @@ def test_stages_on_odd_input(name, stage, spark, odd, empty, tmp_path):
     out = stage(spark, odd, str(tmp_path))
     assert out.columns[:5] == odd.columns and out.count() > 0
     assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_training_takes_rows_of_any_length(spark):
+    """A class and a language that have long texts only."""
+    rows = [(i, prose("en", 40, i) if i % 2 else "zorn grimm " + prose("de", 9_000, i), ("en", "de")[i % 2 == 0], "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    found = {r["doc_id"]: r for r in language.language_digest(docs).collect()}
+    assert all(found[i]["lang_pred"] == lang for i, _, lang, *_ in rows)
+    for digest, label in ((toxicity.toxicity_digest, "toxic"), (quality.quality_digest, "quality")):
+        scores = digest(docs, labels).join(labels, "doc_id").where("held_out").groupBy(label).agg(F.avg("score").alias("s")).collect()
+        by = {r[label]: r["s"] for r in scores}
+        assert by[1] > 0.6 > 0.4 > by[0]
+
+
+def test_bytes_that_are_no_utf8_and_quoted_names(spark, odd, benchmark, labels, tmp_path):
+    bad = odd.where("doc_id < 20").withColumn("text", F.expr("cast(concat(cast(text as binary), X'FF20C328', cast(' secret=abcdef123456' as binary)) as string)"))
+    wide = bad.withColumn("a b", F.lit("mine")).withColumn("x-y", F.struct(F.lit(1).alias("p q"), F.create_map(F.lit("k"), F.lit(2)).alias("m"))).select("*", F.lit(1).alias("t`ick"), F.lit(1).alias("dot.ted"))
+    n = wide.count()
+    found = secrets.find_secrets(wide)
+    for r in found.select("text", "secret_spans", "a b").collect():
+        text = r["text"]  # the driver reads invalid bytes as U+FFFD as well
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in r["secret_spans"]] == [("assign", "secret=abcdef123456")]
+    assert found.count() == toxicity.score_toxicity(wide, toxicity.ToxicityModel([])).count() == quality.score_quality(wide, quality.ByteConvNet()).count() == n
+    assert secrets.redact(found).where("text LIKE '%[SECRET]' AND text NOT LIKE '%abcdef%'").count() == n
+    assert language.language_digest(bad).count() == language_model.language_model_digest(bad).count() == simhash.near_duplicate_digest(bad).count() == n
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns[: len(wide.columns)] == wide.columns and 0 < out.count() and out.where("`a b` <> 'mine' OR `x-y`.`p q` <> 1").count() == 0
+
+
+def test_large_arrow_strings(spark, odd, benchmark):
+    small = odd.where("doc_id < 10 OR doc_id = 107").select("doc_id", "text", "lang", "source", "n_chars")
+    plainly = [sorted(map(str, f(small).collect())) for f in (secrets.secret_digest, simhash.near_duplicate_digest, language.language_digest)]
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert [sorted(map(str, f(small).collect())) for f in (secrets.secret_digest, simhash.near_duplicate_digest, language.language_digest)] == plainly
+        assert decontamination.contamination_digest(small, benchmark).count() == small.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
+def test_rows_that_differ_in_a_map_or_in_where_nulls_are(spark):
+    rows = [(1, "a b", "s", {"x": 1}, None, "v"), (1, "a b", "s", {"x": 2}, "v", None), (1, "a b", "s", {"x": 2}, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, u string, w string")
+    mixed = mixing.mix_documents(docs.unionByName(docs)).collect()
+    assert len(mixed) == 6 and {str(r) for r in mixed} <= {str(r) for r in docs.collect()}
+    keys = [tuple(r) for r in docs.select(*common.row_keys(docs)).collect()]
+    assert len(set(keys)) == 3 and simhash.drop_near_duplicates(docs).count() == 1
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Null ids by the thousand, and rows that are all alike, beyond every bound for equal rows."""
+    for module in (common, mixing):
+        monkeypatch.setattr(module, "REPEAT", 50)
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    docs = spark.range(6_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source")))
+    digest = mixing.document_mix(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("t"), F.max("target").alias("target")).where("doc_id IS NULL").first()
+    assert digest["n"] == 6_000 and abs(digest["t"] - digest["target"]) <= 4
+    copies = Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect())
+    assert abs(2 * copies[None] - digest["target"]) <= 4 and max(n for i, n in copies.items() if i is not None) <= 3
+    assert simhash.drop_near_duplicates(docs).where("doc_id IS NULL").count() == 1
+    assert Counter(r["doc_id"] for r in sharding.shuffle_into_shards(docs, 8).collect())[None] == 6_000
+
+
+def test_chunks(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 7), (4, 30_000)], "k int, n int")
+    found = common.repeat_rows(rows, "n", ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect()
+    assert {r["k"]: r["c"] for r in found} == {2: 1, 3: 7, 4: 30_000} and all(r["c"] == r["d"] == r["m"] + 1 for r in found)
+
+
+def test_components_beyond_double_precision(spark):
+    import math
+
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(100, [1e16, -3.0, 0.0, 2.0]), (101, [1e300, 1.0, 1.0, 1.0]), (102, [-1e300, 1.0, 5.0, 1.0]), (120, [-1e16, 0.0, 0.0, 1.0]), (140, [1e308, 1e308, 1e308, 0.5])]
+    whole = {i: [int(x) * 64 if abs(x) >= 2**53 else math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        if q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:20]
+            want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored)]
+    df = spark.createDataFrame([*rows, rows[-1]], "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
