@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratablock.functions.columns import ALLOCATED, TRIMMED
+from stratablock.sources.steps import removed, written
 
 
 def with_epochs(ops: DataFrame) -> DataFrame:
@@ -36,38 +39,71 @@ def image_at(deltas: DataFrame, epoch: int | None = None) -> DataFrame:
     return top.select("device", "block_index", F.col("x.epoch").alias("epoch"), F.col("x.state").alias("state"), F.col("x.key").alias("key"))
 
 
-def _recursive(spark: SparkSession, sql: str) -> DataFrame:
-    """A recursive query without the session's limit of a million rows, which is there for runaway recursion; ours ends by depth."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql)
-
-
-def lineage(layers: DataFrame, depth: int = 64) -> DataFrame:
-    """device, layer, ancestor and depth (0: itself), by recursion over parents."""
-    layers.createOrReplaceTempView("_layers")
-    return _recursive(layers.sparkSession, f"""
-        WITH RECURSIVE up(device, layer, ancestor, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT device, layer, layer, 0 FROM _layers
-          UNION ALL
-          SELECT u.device, u.layer, p.parent, u.depth + 1 FROM up u JOIN _layers p ON p.device = u.device AND p.layer = u.ancestor WHERE p.parent IS NOT NULL)
-        SELECT device, layer, ancestor, depth FROM up""")
-
+def _leaps(edges: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(1, table), (2, table), (4, table), ...: for edges(scope, node, up, least) where each node is after so many steps up.
 
-def overlay(lines: DataFrame, block_map: DataFrame) -> DataFrame:
-    """For each layer and block the nearest ancestor's record; a trimmed record stops the search as a written one does."""
-    found = lines.join(block_map.withColumnRenamed("layer", "ancestor"), ["device", "ancestor"])
-    near = found.groupBy("device", "layer", "block_index").agg(F.min(F.struct("depth", "ancestor", "state", "key")).alias("x"))
-    return near.select("device", "layer", "block_index", "x.depth", "x.ancestor", "x.state", "x.key")
-
-
-def overlay_in_range(lines: DataFrame, block_map: DataFrame, sizes: DataFrame) -> DataFrame:
-    """overlay, where an ancestor that is too small for the block ends the search without a record (as after a resize)."""
-    near = overlay(lines, block_map)
-    small = lines.join(sizes.select("device", F.col("layer").alias("ancestor"), "blocks"), ["device", "ancestor"])
-    stops = near.select("device", "layer", "block_index").join(small, ["device", "layer"]).where(F.col("block_index") >= F.col("blocks"))
-    stops = stops.groupBy("device", "layer", "block_index").agg(F.min("depth").alias("stop"))
-    cut = near.join(stops, ["device", "layer", "block_index"], "left")
-    return cut.where("stop IS NULL OR depth < stop").drop("stop")
+    Nodes with fewer steps above them are left out; `least` is the minimum over the nodes that the steps leave. A path
+    with more steps than there are edges is a circle, which is refused. A table is gone once the next is asked for.
+    """
+    steps, now, total = 1, written(edges, "leaps"), edges.count()
+    while not now.isEmpty():
+        if steps > total:
+            raise ValueError("the parents of some layers form a circle")
+        yield steps, now
+        on = now.select("scope", F.col("up").alias("further"), F.col("node").alias("up"), F.col("least").alias("beyond"))
+        twice = now.join(on, ["scope", "up"]).select("scope", "node", F.col("further").alias("up"), F.least("least", "beyond").alias("least"))
+        before, now = now, written(twice, "leaps")
+        removed(before)
+        steps *= 2
+    removed(now)
+
+
+def _edges(layers: DataFrame, least: Column | None = None) -> DataFrame:
+    bound = F.lit(None).cast("long") if least is None else least.cast("long")
+    return layers.where("parent IS NOT NULL").select(F.col("device").alias("scope"), F.col("layer").alias("node"), F.col("parent").alias("up"), bound.alias("least"))
+
+
+def _climbed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows(scope, node, ...) with up and depth, once for the node itself (depth 0) and once for each one above it."""
+    lines = rows.withColumns({"up": F.col("node"), "depth": F.lit(0)})
+    held = None
+    for steps, leap in _leaps(edges):
+        higher = leap.select("scope", F.col("node").alias("up"), F.col("up").alias("higher"))
+        more = lines.join(higher, ["scope", "up"]).withColumn("up", F.col("higher")).withColumn("depth", F.col("depth") + steps).select(*lines.columns)
+        before, held = held, written(lines.unionByName(more), "lines")
+        lines = held
+        if before is not None:
+            removed(before)
+    return lines
+
+
+def lineage(layers: DataFrame) -> DataFrame:
+    """device, layer, ancestor and depth (0: itself). Steps double, so a chain of n layers takes log2(n) joins."""
+    rows = layers.select(F.col("device").alias("scope"), F.col("layer").alias("node"))
+    return _climbed(rows, _edges(layers)).select(F.col("scope").alias("device"), F.col("node").alias("layer"), F.col("up").alias("ancestor"), "depth")
+
+
+def overlay(layers: DataFrame, block_map: DataFrame) -> DataFrame:
+    """For each layer and block the nearest ancestor's record; a trimmed record stops the search as a written one does.
+
+    layers(device, layer, parent); with a column `blocks`, an ancestor that is too small for the block (as after a
+    resize) ends the search without a record. No pairs of layers and ancestors are made: after each join a layer knows
+    the nearest record among twice as many ancestors.
+    """
+    bound = F.col("blocks") if "blocks" in layers.columns else F.lit(None)
+    own = block_map.select("device", "layer", "block_index", F.lit(0).alias("depth"), F.col("layer").alias("ancestor"), "state", "key")
+    near = own.join(layers.select("device", "layer", bound.cast("long").alias("least")), ["device", "layer"]).where("least IS NULL OR block_index < least").drop("least")
+    held = None
+    for steps, leap in _leaps(_edges(layers, bound)):
+        below = leap.select(F.col("scope").alias("device"), F.col("up").alias("layer"), F.col("node").alias("lower"), "least")
+        lent = near.join(below, ["device", "layer"]).where("least IS NULL OR block_index < least")
+        lent = lent.withColumn("layer", F.col("lower")).withColumn("depth", F.col("depth") + steps).select(*near.columns)
+        first = near.unionByName(lent).groupBy("device", "layer", "block_index").agg(F.min(F.struct("depth", "ancestor", "state", "key")).alias("x"))
+        before, held = held, written(first.select("device", "layer", "block_index", "x.*"), "near")
+        near = held
+        if before is not None:
+            removed(before)
+    return near
 
 
 def block_states(map_: DataFrame) -> DataFrame:
@@ -79,24 +115,19 @@ def children(tree: DataFrame, kind: str) -> DataFrame:
     return tree.where(F.col("kind") == kind).groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.min("name").alias("first_name"))
 
 
-def descendants(tree: DataFrame, kind: str, depth: int = 16) -> DataFrame:
+def descendants(tree: DataFrame, kind: str) -> DataFrame:
     """Each item with its descendants of a kind, at any depth."""
-    tree.createOrReplaceTempView("_tree")
-    return _recursive(tree.sparkSession, f"""
-        WITH RECURSIVE down(top, uuid, kind, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT parent, uuid, kind, 1 FROM _tree WHERE parent IS NOT NULL
-          UNION ALL
-          SELECT t.parent, d.uuid, d.kind, d.depth + 1 FROM down d JOIN _tree t ON t.uuid = d.top WHERE t.parent IS NOT NULL)
-        SELECT top AS uuid, uuid AS descendant, depth FROM down WHERE kind = '{kind}'""")
+    here = tree.withColumns({"device": F.lit(0), "layer": F.col("uuid")})
+    rows = here.where(F.col("kind") == kind).select(F.col("device").alias("scope"), F.col("layer").alias("node"))
+    return _climbed(rows, _edges(here)).where("depth > 0").select(F.col("up").alias("uuid"), F.col("node").alias("descendant"), "depth")
 
 
-def nearest_survivor(lines: DataFrame, deleted: DataFrame) -> DataFrame:
+def nearest_survivor(layers: DataFrame, deleted: DataFrame) -> DataFrame:
     """New parent of each surviving layer once deleted layers are out of the tree (null: the root)."""
-    gone = deleted.select("device", F.col("layer").alias("ancestor"), F.lit(1).alias("gone"))
-    marked = lines.join(gone, ["device", "ancestor"], "left")
-    alive = marked.where("depth = 0 AND gone IS NULL").select("device", "layer")
-    up = marked.where("depth > 0 AND gone IS NULL").groupBy("device", "layer").agg(F.min(F.struct("depth", "ancestor")).alias("x"))
-    return alive.join(up, ["device", "layer"], "left").select("device", "layer", F.col("x.ancestor").alias("parent"))
+    alive = layers.join(deleted.select("device", "layer"), ["device", "layer"], "left_anti")
+    marks = alive.select("device", "layer", F.lit(0).alias("block_index"), F.lit(ALLOCATED).alias("state"), F.lit("").alias("key"))
+    found = overlay(layers.select("device", "layer", "parent"), marks).select("device", F.col("layer").alias("parent"), F.col("ancestor").alias("survivor"))
+    return alive.select("device", "layer", "parent").join(found, ["device", "parent"], "left").select("device", "layer", F.col("survivor").alias("parent"))
 
 
 def clone(layers: DataFrame) -> DataFrame:

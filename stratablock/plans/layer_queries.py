@@ -150,20 +150,19 @@ _NEAR = f"WITH {_ONE}, {LINES}, n AS (SELECT l.device, l.layer, o.block_index, l
 
 @query("overlay_resolve", f"{_NEAR} SELECT device, layer, block_index, CAST(depth AS INTEGER) AS depth, ancestor, state, key FROM n WHERE r = 1")
 def _(spark, d):
-    return L.overlay(L.lineage(X.layers(spark, d)), _last_state(X.layer_map(spark, d)))
+    return L.overlay(X.layers(spark, d), _last_state(X.layer_map(spark, d)))
 
 
 @query("overlay_after_shrink", f"{_NEAR}, s AS (SELECT l.device, l.layer, b AS block_index, min(depth) AS stop FROM lines l, unnest(range(0, 8)) AS t(b) WHERE b >= 8 - l.ancestor % 3 GROUP BY ALL) SELECT n.device, n.layer, n.block_index, CAST(depth AS INTEGER) AS depth, ancestor, state, key FROM n LEFT JOIN s ON s.device = n.device AND s.layer = n.layer AND s.block_index = n.block_index WHERE r = 1 AND (stop IS NULL OR depth < stop)")
 def _(spark, d):
-    layers = X.layers(spark, d)
-    sizes = layers.select("device", "layer", (8 - F.col("layer") % 3).alias("blocks"))
-    return L.overlay_in_range(L.lineage(layers), _last_state(X.layer_map(spark, d)), sizes)
+    layers = X.layers(spark, d).withColumn("blocks", 8 - F.col("layer") % 3)
+    return L.overlay(layers, _last_state(X.layer_map(spark, d)))
 
 
 @query("deleted_snapshot_reparent", f"WITH {LAYERS}, {LINES} SELECT a.device, a.layer, coalesce(max(CASE WHEN depth > 0 AND ancestor % 3 <> 1 THEN ancestor END), -1) AS parent FROM layers a JOIN lines l ON a.device = l.device AND a.layer = l.layer WHERE a.layer % 3 <> 1 GROUP BY a.device, a.layer")
 def _(spark, d):
     layers = X.layers(spark, d)
-    return L.nearest_survivor(L.lineage(layers), layers.where("layer % 3 = 1")).fillna(-1, ["parent"])
+    return L.nearest_survivor(layers, layers.where("layer % 3 = 1")).fillna(-1, ["parent"])
 
 
 @query("clone_layers", f"WITH {LAYERS} SELECT device, owner, max(layer) + 1 AS layer, max(layer) AS parent FROM layers, unnest(['original', 'clone']) AS t(owner) GROUP BY device, owner")

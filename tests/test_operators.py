@@ -15,11 +15,10 @@ def test_trim_of_an_untouched_table_is_lost_with_parity(spark):
 def test_overlay_stops_at_trim_and_out_of_range(spark):
     tree = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 2, 1)], "device long, layer long, parent long")
     content = spark.createDataFrame([(1, 0, 0, 1, "a"), (1, 0, 1, 1, "b"), (1, 1, 0, 2, None)], "device long, layer long, block_index long, state int, key string")
-    lines = layers.lineage(tree)
-    near = {r["block_index"]: (r["state"], r["key"]) for r in layers.overlay(lines, content).where("layer = 2").collect()}
+    near = {r["block_index"]: (r["state"], r["key"]) for r in layers.overlay(tree, content).where("layer = 2").collect()}
     assert near == {0: (2, None), 1: (1, "b")}
     sizes = spark.createDataFrame([(1, 0, 2), (1, 1, 1), (1, 2, 2)], "device long, layer long, blocks long")
-    cut = {r["block_index"] for r in layers.overlay_in_range(lines, content, sizes).where("layer = 2").collect()}
+    cut = {r["block_index"] for r in layers.overlay(tree.join(sizes, ["device", "layer"]), content).where("layer = 2").collect()}
     assert cut == {0}
 
 
@@ -108,3 +107,51 @@ def test_admin(spark):
 def test_lineage_has_no_row_limit(spark):
     tree = spark.range(600_000).select(F.col("id").alias("device"), F.explode(F.array(F.lit(0), F.lit(1))).alias("layer")).withColumn("parent", F.when(F.col("layer") == 1, 0))
     assert layers.lineage(tree).count() == 1_800_000
+
+
+def test_long_chains_and_trees_against_a_walk(spark):
+    import random
+
+    draw = random.Random(5)
+    parents = {(0, i): i - 1 if i else None for i in range(300)} | {(1, i): draw.randrange(i) if i else None for i in range(200)}
+    sizes = {at: draw.choice([3, 4, 4, 4, 4, 4, 4, 4, 4, 4]) for at in parents}
+    records = {(d, n, b): draw.choice(["a", "b", None]) for d, n in parents for b in range(4) if draw.random() < 0.05}
+    gone = {at for at in parents if at[1] and draw.random() < 0.5}
+
+    def up(d, n):
+        while n is not None:
+            yield n
+            n = parents[d, n]
+
+    rows = [(d, n, p, sizes[d, n]) for (d, n), p in parents.items()]
+    tree = spark.createDataFrame(rows, "device long, layer long, parent long, blocks long")
+    content = spark.createDataFrame([(*at, 2 if k is None else 1, k) for at, k in records.items()], "device long, layer long, block_index long, state int, key string")
+    lines = {(d, n, a, i) for d, n in parents for i, a in enumerate(up(d, n))}
+    assert sorted(tuple(r) for r in layers.lineage(tree).select("device", "layer", "ancestor", "depth").collect()) == sorted(lines)
+
+    def resolved(sized):
+        want = set()
+        for d, n in parents:
+            for b in range(4):
+                for i, a in enumerate(up(d, n)):
+                    if sized and b >= sizes[d, a]:
+                        break
+                    if (d, a, b) in records:
+                        want.add((d, n, b, i, a, records[d, a, b]))
+                        break
+        return want
+
+    for given, sized in ((tree, True), (tree.drop("blocks"), False)):
+        found = layers.overlay(given, content).select("device", "layer", "block_index", "depth", "ancestor", "key").collect()
+        assert len(found) == len({tuple(r) for r in found}) and {tuple(r) for r in found} == resolved(sized)
+    deleted = spark.createDataFrame(sorted(gone), "device long, layer long")
+    left = {(d, n, next((a for a in list(up(d, n))[1:] if (d, a) not in gone), None)) for d, n in parents if (d, n) not in gone}
+    assert {tuple(r) for r in layers.nearest_survivor(tree, deleted).collect()} == left
+
+
+def test_circles_of_parents_are_refused(spark):
+    import pytest
+
+    circle = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "device long, layer long, parent long")
+    with pytest.raises(ValueError, match="circle"):
+        layers.lineage(circle)
