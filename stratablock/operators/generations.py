@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratablock.functions.columns import write_delay
@@ -10,15 +10,28 @@ from stratablock.functions.columns import write_delay
 #: Fixed value: generations that stay hot.
 HOT_MOST = 4
 
+#: Places in an order that make a range; at 1e12 rows some 1.5e7 sums of ranges meet in one window.
+WIDTH = 1 << 16
 
-def running_index(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
-    """rows with n (from 1) in order of a whole-number column, without a sort in one task: counts of ranges, then ranks within."""
-    rows = rows.withColumn("_range", F.floor(F.col(order) / width))
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return rows.join(starts, "_range").withColumn("n", F.col("_start") + within).drop("_range", "_start")
+
+def running_sum(rows: DataFrame, order: str, value: Column, name: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
+    """rows with `name`: the sum of `value` up to each row in order of a whole-number column, then of `ties`, for each `by`.
+
+    No window holds all rows of a key: the sums of ranges of the order are added up first, then the rows within a range.
+    Null is a key like any other and comes first in the order.
+    """
+    # As one struct, null keys meet each other, and join and window share one partitioning.
+    rows = rows.withColumn("_place", F.struct(*by, F.floor(F.col(order) / width).alias("_range")))
+    sums = rows.groupBy("_place").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*(F.col("_place")[k] for k in by)).orderBy(F.col("_place")["_range"]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_place", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_place").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(starts, "_place").withColumn(name, F.col("_start") + F.sum(value).over(within)).drop("_place", "_start")
+
+
+def running_index(rows: DataFrame, order: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
+    """rows with n (from 1, gapless) in order of a whole-number column, for each `by`, without a sort in one task."""
+    return running_sum(rows, order, F.lit(1), "n", by, ties, width)
 
 
 def assign_generations(writes: DataFrame, per_generation: int) -> DataFrame:
@@ -69,7 +82,6 @@ def recovery_order(hot: DataFrame) -> DataFrame:
     return names.withColumn("place", F.row_number().over(Window.orderBy("name")))
 
 
-def flush_batches(messages: DataFrame, order: str, most: int = 64) -> DataFrame:
-    """Batches of at most so many messages for each target."""
-    n = F.row_number().over(Window.partitionBy("target").orderBy(order))
-    return messages.withColumn("batch", F.floor((n - 1) / most))
+def flush_batches(messages: DataFrame, order: str, most: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Batches of at most so many messages for each target, in order of a whole-number column, then of `ties`."""
+    return running_index(messages, order, ("target",), ties).withColumn("batch", F.floor((F.col("n") - 1) / most)).drop("n")

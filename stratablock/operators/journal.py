@@ -37,11 +37,18 @@ def in_range(journal: DataFrame, after: int, upto: int) -> DataFrame:
 
 
 def order_violations(journal: DataFrame) -> DataFrame:
-    """STARTs whose transaction isn't above all before it in the log, or isn't the one after the last."""
-    run = Window.partitionBy("resource").orderBy("ts", "seq")
-    starts = journal.where("op = 'START'")
-    before = F.max("tx_id").over(run.rowsBetween(Window.unboundedPreceding, -1))
-    return starts.withColumns({"before": before, "previous": F.lag("tx_id").over(run)}).select(
+    """STARTs whose transaction isn't above all before it in the log (by ts, then seq), or isn't the one after the last.
+
+    A window holds the STARTs of a resource that share their ts, another one row for each ts of a resource.
+    """
+    starts = journal.where("op = 'START'").withColumn("_place", F.struct("resource", "ts"))
+    spans = starts.groupBy("_place").agg(F.max("tx_id").alias("most"), F.max_by("tx_id", "seq").alias("last"))
+    earlier = Window.partitionBy(F.col("_place.resource")).orderBy(F.col("_place.ts"))
+    known = spans.select("_place", F.max("most").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_most"), F.lag("last").over(earlier).alias("_last"))
+    run = Window.partitionBy("_place").orderBy("seq")
+    before = F.greatest(F.max("tx_id").over(run.rowsBetween(Window.unboundedPreceding, -1)), "_most")
+    rows = starts.join(known, "_place").withColumns({"before": before, "previous": F.coalesce(F.lag("tx_id").over(run), "_last")})
+    return rows.select(
         "resource", "tx_id", F.coalesce(F.col("tx_id") <= F.col("before"), F.lit(False)).alias("is_stale"), F.coalesce(F.col("tx_id") != F.col("previous") + 1, F.lit(False)).alias("has_gap")
     )
 
@@ -51,10 +58,12 @@ def retained(tasks: DataFrame, now: int, size: int, max_size: int, duration: int
 
     From the newest done task down, the first is the cut that is older than `max_duration`, or comes after `max_size`
     done ones, or after `size` ones older than `duration`. Done tasks up to the cut go; others stay.
+    No cut is below the newest `max_size` + 1, so each partition hands on no more than these.
     """
     done = tasks.where(F.col("status").isin(*DONE_STATES)).withColumn("age", F.lit(now) - F.col("ts"))
     run = Window.partitionBy("resource").orderBy(F.col("tx_id").desc())
-    counted = done.withColumns({"i": F.row_number().over(run), "old": F.sum(F.when(F.col("age") > duration, 1).otherwise(0)).over(run)})
+    newest = done.withColumn("i", F.row_number().over(run)).where(F.col("i") <= max_size + 1)
+    counted = newest.withColumn("old", F.sum(F.when(F.col("age") > duration, 1).otherwise(0)).over(run))
     fails = (F.col("age") > max_duration) | (F.col("i") > max_size) | ((F.col("age") > duration) & (F.col("old") > size))
     cut = counted.where(fails).groupBy("resource").agg(F.max("tx_id").alias("cut"))
     kept = tasks.join(cut, "resource", "left").where(~F.col("status").isin(*DONE_STATES) | F.col("cut").isNull() | (F.col("tx_id") > F.col("cut")))
@@ -67,8 +76,9 @@ def load_tasks(tasks: DataFrame, now: int, most: int, max_duration: int) -> Data
     Arrivals in order of transactions make this the newest `most` done ones, as every drop is of the oldest.
     """
     fresh = tasks.where(~F.col("status").isin(*DONE_STATES) | (F.lit(now) - F.col("ts") <= max_duration))
-    run = Window.partitionBy("resource", F.col("status").isin(*DONE_STATES)).orderBy(F.col("tx_id").desc())
-    return fresh.withColumn("i", F.row_number().over(run)).where(~F.col("status").isin(*DONE_STATES) | (F.col("i") <= most)).drop("i")
+    done, run = F.col("status").isin(*DONE_STATES), Window.partitionBy("resource").orderBy(F.col("tx_id").desc())
+    newest = fresh.where(done).withColumn("i", F.row_number().over(run)).where(F.col("i") <= most).drop("i")
+    return newest.unionByName(fresh.where(~done))
 
 
 def task_counts(tasks: DataFrame, now: int, duration: int) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratablock.functions.columns import ALLOCATED, TRIMMED
+from stratablock.operators.generations import running_sum
 from stratablock.sources.steps import removed, written
 
 
 def with_epochs(ops: DataFrame) -> DataFrame:
     """ops with epoch: how many snapshots of the device came up to it."""
-    run = Window.partitionBy("device").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("epoch", F.sum(F.when(F.col("op") == "SNAPSHOT", 1).otherwise(0)).over(run))
+    return running_sum(ops, "seq", F.when(F.col("op") == "SNAPSHOT", 1).otherwise(0), "epoch", ("device",))
 
 
 def layer_deltas(ops: DataFrame, parity: bool = True, capacity: int = 215) -> DataFrame:
@@ -23,11 +23,11 @@ def layer_deltas(ops: DataFrame, parity: bool = True, capacity: int = 215) -> Da
     With parity a trim is lost while nothing of its L2 table (`capacity` blocks) has been written in the layer.
     """
     rows = with_epochs(ops).where("op IN ('WRITE', 'TRIM')")
+    last = rows.groupBy("device", "epoch", "block_index").agg(F.max(F.struct("seq", "op", "key")).alias("x"), F.min(F.when(F.col("op") == "WRITE", F.col("seq"))).alias("written"))
     if parity:
-        l2 = F.floor(F.col("block_index") / capacity)
-        first = Window.partitionBy("device", "epoch", l2).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("touched", F.max(F.when(F.col("op") == "WRITE", 1).otherwise(0)).over(first)).where("touched = 1")
-    last = rows.groupBy("device", "epoch", "block_index").agg(F.max(F.struct("seq", "op", "key")).alias("x"))
+        # A block's last record is lost only if all before it are; the window holds the blocks of one table.
+        table = Window.partitionBy("device", "epoch", F.floor(F.col("block_index") / capacity))
+        last = last.withColumn("first", F.min("written").over(table)).where("x.seq >= first")
     state = F.when(F.col("x.op") == "WRITE", ALLOCATED).otherwise(TRIMMED)
     return last.select("device", "epoch", "block_index", state.alias("state"), F.when(state == ALLOCATED, F.col("x.key")).alias("key"), F.col("x.seq").alias("version"))
 

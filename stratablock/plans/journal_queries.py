@@ -204,8 +204,8 @@ def _(spark, d):
 
 @query("update_batches", f"WITH {REPLICAS}, n AS (SELECT node AS target, version, row_number() OVER (PARTITION BY node ORDER BY version, file, cluster, hash) AS i FROM replicas) SELECT target, (i - 1) // 64 AS batch, count(*) AS updates, min(version) AS first_version FROM n GROUP BY 1, 2")
 def _(spark, d):
-    rows = X.replicas(spark, d).select(F.col("node").alias("target"), "version", F.struct("version", "file", "cluster", "hash").alias("o"))
-    return G.flush_batches(rows, "o").groupBy("target", "batch").agg(F.count(F.lit(1)).alias("updates"), F.min("version").alias("first_version"))
+    rows = X.replicas(spark, d).withColumnRenamed("node", "target")
+    return G.flush_batches(rows, "version", ties=("file", "cluster", "hash")).groupBy("target", "batch").agg(F.count(F.lit(1)).alias("updates"), F.min("version").alias("first_version"))
 
 
 @query("frame_crc", f"WITH {JOURNAL} SELECT CASE seq % 5 WHEN 1 THEN 'BAD_LENGTH' WHEN 2 THEN 'TOO_SHORT' ELSE 'OK' END AS outcome, count(*) AS frames FROM journal GROUP BY 1")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratablock.functions import columns as C
 from stratablock.operators import device as D
+from stratablock.operators import generations as G
 from stratablock.operators import layers as L
 from stratablock.operators import plugins as P
 from stratablock.plans import fixtures as X
@@ -253,8 +253,8 @@ def _(spark, d):
 
 @query("version_counter", f"WITH {_EPOCHS} SELECT seq, row_number() OVER (PARTITION BY device, epoch ORDER BY seq) AS version FROM e WHERE op IN ('WRITE', 'TRIM')")
 def _(spark, d):
-    w = Window.partitionBy("device", "epoch").orderBy("seq")
-    return L.with_epochs(X.device_ops(spark, d)).where("op IN ('WRITE', 'TRIM')").select("seq", F.row_number().over(w).cast("long").alias("version"))
+    changes = L.with_epochs(X.device_ops(spark, d)).where("op IN ('WRITE', 'TRIM')")
+    return G.running_index(changes, "seq", ("device", "epoch")).select("seq", F.col("n").alias("version"))
 
 
 @query("l2_allocations", f"WITH {_EPOCHS} SELECT device, epoch, block_index // 17 AS l2, min(seq) AS allocated_at FROM e WHERE op = 'WRITE' GROUP BY ALL")

@@ -1,5 +1,7 @@
 """Operators on small inputs whose results are known."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from stratablock.operators import admin, blocks, device, generations, journal, layers, replicas
@@ -42,7 +44,66 @@ def test_empty_values_are_neither_hot_nor_promoted(spark):
 
 def test_running_index_is_gapless(spark):
     rows = spark.createDataFrame([(x,) for x in (5, 9000, 1, 4097, 4096)], "seq long")
-    assert sorted((r["seq"], r["n"]) for r in generations.running_index(rows, "seq").collect()) == [(1, 1), (5, 2), (4096, 3), (4097, 4), (9000, 5)]
+    for width in (4096, 1 << 16):
+        assert sorted((r["seq"], r["n"]) for r in generations.running_index(rows, "seq", width=width).collect()) == [(1, 1), (5, 2), (4096, 3), (4097, 4), (9000, 5)]
+
+
+def test_running_sums_by_key_against_a_walk(spark):
+    """Ranges of every width agree with a walk; null keys are one key, equal places go by their ties."""
+    draw = random.Random(5)
+    rows = [(draw.choice([None, 1, 1, 1, 2]), draw.randrange(60), i, draw.randrange(-3, 4)) for i in range(200)]
+    want, run = set(), {}
+    for k, at, tie, v in sorted(rows, key=lambda r: r[1:3]):
+        run[k] = run.get(k, 0) + v
+        want.add((k, at, tie, run[k]))
+    df = spark.createDataFrame(rows, "k long, at long, tie long, v long")
+    for width in (1, 7, 1 << 16):
+        found = generations.running_sum(df, "at", F.col("v"), "total", ("k",), ("tie",), width)
+        assert found.columns == ["k", "at", "tie", "v", "total"]
+        assert {(r["k"], r["at"], r["tie"], r["total"]) for r in found.collect()} == want
+    assert generations.running_sum(df.where("false"), "at", F.col("v"), "total", ("k",)).count() == 0
+
+
+def test_deltas_against_a_walk(spark):
+    """Last records of each epoch, with trims lost until something of their table has been written."""
+    draw = random.Random(6)
+    rows = [(i, draw.choice([None, 1, 2]), draw.choice(["WRITE", "TRIM", "TRIM", "SNAPSHOT", "READ"]), draw.randrange(8), f"k{i}") for i in range(300)]
+    ops = spark.createDataFrame(rows, "seq long, device long, op string, block_index long, key string")
+    for parity in (True, False):
+        epoch, touched, want = {}, set(), {}
+        for seq, dev, op, block, key in rows:
+            epoch[dev] = e = epoch.get(dev, 0) + (op == "SNAPSHOT")
+            if op == "WRITE":
+                touched.add((dev, e, block // 4))
+            if op == "WRITE" or (op == "TRIM" and (not parity or (dev, e, block // 4) in touched)):
+                want[dev, e, block] = (1, key, seq) if op == "WRITE" else (2, None, seq)
+        found = layers.layer_deltas(ops, parity, 4).collect()
+        assert {(r["device"], r["epoch"], r["block_index"]): (r["state"], r["key"], r["version"]) for r in found} == want and len(found) == len(want)
+
+
+def test_order_of_transactions_against_a_walk(spark):
+    draw = random.Random(7)
+    rows = [(draw.choice(["a", "a", "b"]), draw.randrange(40), draw.randrange(9), i, draw.choice(["START", "START", "COMMIT"])) for i in range(120)]
+    want, most, last = [], {}, {}
+    for resource, tx, _, _, _ in sorted((r for r in rows if r[4] == "START"), key=lambda r: r[2:4]):
+        want.append((resource, tx, resource in most and tx <= most[resource], resource in last and tx != last[resource] + 1))
+        most[resource], last[resource] = max(tx, most.get(resource, tx)), tx
+    found = journal.order_violations(spark.createDataFrame(rows, "resource string, tx_id long, ts long, seq long, op string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_newest_tasks_stay(spark):
+    rows = [("r", tx, "STARTED" if tx % 4 == 0 else "COMMITTED", tx) for tx in range(1, 13)] + [("s", 1, "ROLLED_BACK", 1)]
+    df = spark.createDataFrame(rows, "resource string, tx_id long, status string, ts long")
+    kept = journal.load_tasks(df, 12, 2, 100)
+    assert kept.columns == df.columns
+    assert sorted((r["resource"], r["tx_id"]) for r in kept.collect()) == [("r", 4), ("r", 8), ("r", 10), ("r", 11), ("r", 12), ("s", 1)]
+
+
+def test_batches_count_by_target(spark):
+    rows = spark.createDataFrame([("t", i // 2, i) for i in range(7)] + [("u", 0, 0)], "target string, at long, tie long")
+    found = generations.flush_batches(rows, "at", 3, ("tie",)).collect()
+    assert sorted((r["target"], r["tie"], r["batch"]) for r in found) == [("t", i, i // 3) for i in range(7)] + [("u", 0, 0)]
 
 
 def test_search_and_increment_revives_a_zero(spark):
