@@ -212,10 +212,27 @@ def is_quorum(online: Column, registered: Column) -> Column:
 
 
 def pairs_to_map(pairs: Column) -> Column:
-    """Map from a flat list [k, v, k, v]; of equal keys the last counts."""
-    n = F.floor(F.size(pairs) / 2).cast("int")
-    entries = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(pairs, 2 * i - 1), F.element_at(pairs, 2 * i)))
-    return F.map_from_entries(entries)
+    """Map from a flat list [k, v, k, v]; of equal keys the last counts, a key without a value is left out, null gives null."""
+    # A list has few pairs; places are those of keys.
+    places = F.transform(F.array_repeat(F.lit(0), F.floor(F.size(pairs) / 2).cast("int")), lambda _, i: 2 * i + 1)
+    is_last = lambda i: ~F.exists(F.filter(places, lambda j: j > i), lambda j: F.element_at(pairs, j) == F.element_at(pairs, i))
+    entries = F.transform(F.filter(places, is_last), lambda i: F.struct(F.element_at(pairs, i).alias("key"), F.element_at(pairs, i + 1).alias("value")))
+    return F.when(pairs.isNotNull(), F.map_from_entries(entries))
+
+
+def join_list(items: Column) -> Column:
+    """Paths or peers as one text, separated by commas; null items are left out."""
+    return F.array_join(items, ",")
+
+
+def split_list(text: Column) -> Column:
+    """The items of a text that join_list made: none of an empty or null text, and no empty one after a last comma."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, ",$", ""), ","))
+
+
+def resource_json(*fields: Column) -> Column:
+    """A resource as JSON without a root element; null fields are left out."""
+    return F.to_json(F.struct(*fields))
 
 
 def path_of(key: Column, deep: bool = True) -> Column:

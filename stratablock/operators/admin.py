@@ -52,6 +52,27 @@ def remove_peers(peers: DataFrame, gone: DataFrame) -> DataFrame:
     return peers.join(gone.select("node"), "node", "left_anti")
 
 
+def registered(targets: DataFrame, peers: DataFrame) -> DataFrame:
+    """Targets whose node is a registered peer."""
+    return targets.join(peers.select("node"), "node", "left_semi")
+
+
+def owned_by(items: DataFrame, owner: str | None = None) -> DataFrame:
+    """Items of an owner; without one, all of them."""
+    return items if owner is None else items.where(F.col("owner") == owner)
+
+
+def pending(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """Every target with how many of requests(target, request) have no end in events(target, request), 0 included."""
+    waiting = requests.join(events.select("target", "request"), ["target", "request"], "left_anti").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return requests.select("target").distinct().join(waiting, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("pending"))
+
+
+def split_results(results: DataFrame) -> DataFrame:
+    """Nodes of results(tx_id, node, exit) that succeeded (exit 0) and that failed, counted for each transaction."""
+    return results.groupBy("tx_id").agg(F.count_if(F.col("exit") == 0).alias("succeeded"), F.count_if(~F.col("exit").eqNullSafe(0)).alias("failed"))
+
+
 def export_connections(exports: DataFrame, connections: DataFrame) -> DataFrame:
     """Every export with its number of connections, 0 included; names match whatever their case."""
     n = connections.groupBy(F.lower("name").alias("l")).agg(F.count(F.lit(1)).alias("n"))

@@ -71,14 +71,15 @@ def _(spark, d):
 
 @query("registered_targets", f"WITH {_PEERS} SELECT node FROM more WHERE node IN (SELECT node FROM peers)")
 def _(spark, d):
-    return _peers(spark, d, 3).join(_peers(spark, d, 2), "node", "left_semi").select("node")
+    return A.registered(_peers(spark, d, 3), _peers(spark, d, 2)).select("node")
 
 
-@query("export_connections", "SELECT n_name AS name, count(c_custkey) AS connections FROM nation LEFT JOIN customer ON lower(n_name) = lower(n_name) AND c_nationkey = n_nationkey AND c_acctbal > 0 GROUP BY n_name")
+@query("export_connections", "WITH e AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS name FROM nation), c AS (SELECT CASE c_custkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN upper(n_name) ELSE 'x' || n_name END AS peer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0) SELECT name, count(peer) AS connections FROM e LEFT JOIN c ON lower(name) = lower(peer) GROUP BY name")
 def _(spark, d):
-    nation = X.table(spark, d, "nation")
+    nation, k = X.table(spark, d, "nation"), F.col("c_custkey") % 3
     joined = X.table(spark, d, "customer").where("c_acctbal > 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return A.export_connections(nation.select(F.col("n_name").alias("name")), joined.select(F.lower("n_name").alias("name")))
+    exports = nation.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lower("n_name")).alias("name"))
+    return A.export_connections(exports, joined.select(F.when(k == 0, F.lower("n_name")).when(k == 1, F.upper("n_name")).otherwise(F.concat(F.lit("x"), "n_name")).alias("name")))
 
 
 @query("target_names", "SELECT name, (starts_with(name, 'iqn.') AND strlen(name) <= 233) OR regexp_matches(name, '^eui\\.[0-9A-Fa-f]{16}$') AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'iqn.2013-01.org.example:' || c_name WHEN 1 THEN 'eui.' || substring(md5(c_name), 1, 16) WHEN 2 THEN 'iqn.' || repeat('x', 240) ELSE c_name END AS name FROM customer)")
@@ -90,7 +91,7 @@ def _(spark, d):
 
 @query("owner_filter", f"WITH {TREE} SELECT uuid, name FROM tree WHERE parent = 'n3'")
 def _(spark, d):
-    return X.tree(spark, d).where("parent = 'n3'").select("uuid", "name")
+    return A.owned_by(X.tree(spark, d).withColumnRenamed("parent", "owner"), "n3").select("uuid", "name")
 
 
 _PROPS = OPS + ", ch AS (SELECT device, 'p' || block_index % 5 AS name, CASE WHEN op = 'TRIM' THEN NULL ELSE key END AS value, row_number() OVER (PARTITION BY device, block_index % 5 ORDER BY seq DESC) AS r FROM ops)"
@@ -132,28 +133,32 @@ def _(spark, d):
     return rows.withColumn("previous", before).select("seq", A.gate(F.col("previous"), F.col("state")).alias("action"))
 
 
-@query("pending_requests", f"WITH {OPS} SELECT device, count(*) AS pending FROM ops WHERE op = 'READ' GROUP BY device")
+@query("pending_requests", f"WITH {OPS} SELECT device AS target, count(*) FILTER (cents % 3 IS DISTINCT FROM 0) AS pending FROM ops WHERE op IN ('READ', 'WRITE') GROUP BY device")
 def _(spark, d):
-    return X.device_ops(spark, d).where("op = 'READ'").groupBy("device").agg(F.count(F.lit(1)).alias("pending"))
+    ops = X.device_ops(spark, d).where("op IN ('READ', 'WRITE')").select(F.col("device").alias("target"), F.col("seq").alias("request"), "cents")
+    return A.pending(ops, ops.where("cents % 3 = 0"))
 
 
-@query("result_filter", "SELECT l_suppkey % 5 AS node, count(*) AS ok FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1")
+@query("result_filter", "SELECT l_orderkey AS tx_id, count(*) FILTER (l_returnflag = 'A') AS succeeded, count(*) FILTER (l_returnflag <> 'A') AS failed FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return X.table(spark, d, "lineitem").where("l_returnflag <> 'R'").groupBy((F.col("l_suppkey") % 5).alias("node")).agg(F.count(F.lit(1)).alias("ok"))
+    # Flag A is success, R a failure, N no answer.
+    exit_ = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 5)
+    return A.split_results(X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx_id"), (F.col("l_suppkey") % 5).alias("node"), exit_.alias("exit")))
 
 
-@query("list_split_join", "SELECT s_suppkey AS id, s_name || ':' || s_nationkey || ',' || s_suppkey AS peers, 2 AS n FROM supplier")
+@query("list_split_join", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN s_name ELSE s_name || ',/ibp/' || s_nationkey END AS paths, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n FROM supplier")
 def _(spark, d):
-    text = F.concat(F.concat_ws(":", "s_name", "s_nationkey"), F.lit(","), F.col("s_suppkey"))
-    parts = F.split(text, ",")
-    return X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(parts, ",").alias("peers"), F.size(parts).alias("n"))
+    k, two = F.col("s_suppkey") % 4, C.join_list(F.array("s_name", F.concat(F.lit("/ibp/"), "s_nationkey"), F.lit(None)))
+    items = C.split_list(F.when(k == 1, F.col("s_name")).when(k == 2, two).when(k == 3, F.concat(two, F.lit(","))))
+    return X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), C.join_list(items).alias("paths"), F.size(items).alias("n"))
 
 
-@query("resolved_json", f"WITH {TREE} SELECT uuid, name, kind FROM tree")
+@query("resolved_json", f"WITH {TREE}, q AS (SELECT uuid, parent, kind, 'a \"' || name || '\" \\ b' AS name FROM tree) SELECT uuid, name, CAST(CASE WHEN parent IS NULL THEN to_json({{'uuid': uuid, 'item': {{'name': name, 'tags': [kind, 'x,y']}}}}) ELSE to_json({{'uuid': uuid, 'parent': parent, 'item': {{'name': name, 'tags': [kind, 'x,y']}}}}) END AS VARCHAR) AS json FROM q")
 def _(spark, d):
-    t = X.tree(spark, d)
-    back = F.from_json(F.to_json(F.struct("uuid", "name", "kind")), "uuid string, name string, kind string")
-    return t.select(back.alias("j")).select("j.uuid", "j.name", "j.kind")
+    quoted = F.concat(F.lit('a "'), "name", F.lit('" \\ b')).alias("name")
+    item = F.struct(quoted, F.array("kind", F.lit("x,y")).alias("tags")).alias("item")
+    rows = X.tree(spark, d).select("uuid", C.resource_json(F.col("uuid"), F.col("parent"), item).alias("json"))
+    return rows.select("uuid", F.get_json_object("json", "$.item.name").alias("name"), "json")
 
 
 @query("target_aliases", "SELECT c_custkey, (c_custkey % 5 = 4) OR octet_length(encode(alias)) < 255 OR (octet_length(encode(alias)) = 255 AND c_custkey % 5 = 3) AS valid FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN repeat('é', 127) WHEN 2 THEN repeat('é', 127) || 'x' WHEN 3 THEN repeat('é', 127) || chr(0) END AS alias FROM customer)")

@@ -91,6 +91,12 @@ def test_flags_splice_fill_and_names(spark):
     assert one(spark, C.iscsi_name_is_valid(F.lit("eui.0123456789abcdef"))) and not one(spark, C.iscsi_name_is_valid(F.lit("eui.xyz")))
     assert one(spark, C.iscsi_name_is_valid(F.lit(None).cast("string"))) is False
     assert one(spark, C.pairs_to_map(F.array(*map(F.lit, ("a", "1", "b", "2"))))) == {"a": "1", "b": "2"}
+    assert one(spark, C.pairs_to_map(F.array(*map(F.lit, ("a", "1", "b", "2", "a", "3", "c"))))) == {"a": "3", "b": "2"}
+    assert one(spark, C.pairs_to_map(F.array().cast("array<string>"))) == {}
+    assert one(spark, C.pairs_to_map(F.lit(None).cast("array<string>"))) is None
+    assert one(spark, C.split_list(F.lit("a,,b,"))) == ["a", "", "b"]
+    assert [one(spark, C.split_list(F.lit(x).cast("string"))) for x in ("", None, "a")] == [[], [], ["a"]]
+    assert one(spark, C.join_list(F.array(F.lit("a"), F.lit(None), F.lit("b")))) == "a,b"
     assert one(spark, C.port_is_valid(F.lit(1023))) is False and one(spark, C.port_is_valid(F.lit(1024)))
 
 

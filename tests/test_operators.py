@@ -160,6 +160,12 @@ def test_admin(spark):
     exports = spark.createDataFrame([("Vol",), ("none",)], "name string")
     found = spark.createDataFrame([("VOL",), ("vol",)], "name string")
     assert {(r["name"], r["connections"]) for r in admin.export_connections(exports, found).collect()} == {("Vol", 2), ("none", 0)}
+    asked = spark.createDataFrame([("t", 1), ("t", 2), ("u", 1)], "target string, request long")
+    assert {tuple(r) for r in admin.pending(asked, asked.where("request = 1")).collect()} == {("t", 1), ("u", 0)}
+    ends = spark.createDataFrame([(1, 0, 0), (1, 1, -6), (1, 2, None), (2, 0, 0)], "tx_id long, node long, exit int")
+    assert {tuple(r) for r in admin.split_results(ends).collect()} == {(1, 1, 2), (2, 1, 0)}
+    owned = spark.createDataFrame([("a", "o"), ("b", None)], "uuid string, owner string")
+    assert [admin.owned_by(owned, *o).count() for o in ((), ("o",), ("none",))] == [2, 1, 0]
     assert {r["longer"] for r in admin.prefix_contexts(spark.createDataFrame([("ab",), ("abc",), ("b",)], "context string")).collect()} == {"abc"}
     gates = spark.createDataFrame([(None, "UP_TO_DATE"), ("UP_TO_DATE", "LATE"), ("LATE", "LATE")], "p string, s string")
     assert [r[0] for r in gates.select(admin.gate(F.col("p"), F.col("s"))).collect()] == ["START", "STOP", "NONE"]
