@@ -122,3 +122,27 @@ class Prepare:
                 return state, "PROTOCOL_ERROR"
             return (tx, False), "PREPARED"
         return ((last, True), "ENDED") if tx == last and not ended else (state, "UNKNOWN_TX")
+
+
+class Repositories:
+    """Life of repositories on `nodes`: CREATE, START, STOP and DELETE, each START or STOP for the node of its payload (null: for all).
+
+    A taken id EXISTS, an id that is not managed is UNKNOWN, a repository that runs anywhere REFUSED its deletion. One that
+    goes is PURGE: it isn't managed any more, its files are due to be purged, and its id may be taken again.
+    """
+
+    def __init__(self, nodes: tuple[str, ...]):
+        self.nodes = frozenset(nodes)
+
+    def start(self, resource: Any) -> frozenset[str] | None:
+        return None
+
+    def apply(self, state: frozenset[str] | None, op: str, payload: Any) -> tuple[frozenset[str] | None, str]:
+        if op == "CREATE":
+            return (frozenset(), "CREATED") if state is None else (state, "EXISTS")
+        if state is None:
+            return state, "UNKNOWN"
+        if op == "DELETE":
+            return (state, "REFUSED") if state else (None, "PURGE")
+        asked = self.nodes if payload is None else self.nodes & {payload}
+        return (state | asked, "STARTED") if op == "START" else (state - asked, "STOPPED")

@@ -94,3 +94,22 @@ def _(spark, d):
 @query("free_percent", "SELECT o_orderkey AS id, CAST(o_orderkey % 101 * 100 // 101 AS BIGINT) AS free FROM orders")
 def _(spark, d):
     return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.free_percent(F.col("o_orderkey") % 101, F.lit(101)).alias("free"))
+
+
+_LIFE = f"""WITH RECURSIVE {OPS}, f AS (SELECT device % 50 AS resource, seq, block_index % 3 AS node, CASE op WHEN 'READ' THEN 'STOP' WHEN 'TRIM' THEN 'DELETE' WHEN 'SNAPSHOT' THEN 'CREATE' ELSE 'START' END AS op,
+    row_number() OVER (PARTITION BY device % 50 ORDER BY seq) AS i FROM ops WHERE block_index IS NOT NULL),
+  m AS (SELECT *, CASE WHEN node = 0 THEN 3 ELSE node END AS mask FROM f),
+  r AS (SELECT resource, seq, i, CASE WHEN op = 'CREATE' THEN 0 ELSE -1 END AS state, CASE WHEN op = 'CREATE' THEN 'CREATED' ELSE 'UNKNOWN' END AS outcome FROM m WHERE i = 1
+    UNION ALL SELECT m.resource, m.seq, m.i,
+      CASE WHEN op = 'CREATE' THEN greatest(state, 0) WHEN state < 0 THEN -1 WHEN op = 'DELETE' THEN CASE WHEN state > 0 THEN state ELSE -1 END WHEN op = 'START' THEN state | mask ELSE state & (3 - mask) END,
+      CASE WHEN op = 'CREATE' THEN CASE WHEN state < 0 THEN 'CREATED' ELSE 'EXISTS' END WHEN state < 0 THEN 'UNKNOWN' WHEN op = 'DELETE' THEN CASE WHEN state > 0 THEN 'REFUSED' ELSE 'PURGE' END WHEN op = 'START' THEN 'STARTED' ELSE 'STOPPED' END
+      FROM r JOIN m ON m.resource = r.resource AND m.i = r.i + 1)
+  SELECT resource, seq, outcome FROM r"""
+
+
+@query("repository_life", _LIFE)
+def _(spark, d):
+    op = F.expr("CASE op WHEN 'READ' THEN 'STOP' WHEN 'TRIM' THEN 'DELETE' WHEN 'SNAPSHOT' THEN 'CREATE' ELSE 'START' END")
+    node = F.expr("CASE block_index % 3 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END")
+    log = X.device_ops(spark, d).where("block_index IS NOT NULL").select((F.col("device") % 50).alias("resource"), "seq", op.alias("op"), node.alias("payload"))
+    return P.fold_journal(log, P.Repositories(("a", "b")))

@@ -46,3 +46,12 @@ def test_folds(spark):
 @pytest.mark.parametrize("name", sorted(schemas.ALL))
 def test_schemas_parse(spark, name):
     assert spark.createDataFrame([], schemas.ALL[name]).count() == 0
+
+
+def test_life_of_a_repository():
+    manager = plugins.Repositories(("a", "b"))
+    state, found = manager.start("r"), []
+    for op, node in (("START", None), ("CREATE", None), ("CREATE", None), ("START", None), ("STOP", "a"), ("DELETE", None), ("STOP", "b"), ("START", "elsewhere"), ("DELETE", None), ("STOP", None), ("CREATE", None)):
+        state, outcome = manager.apply(state, op, node)
+        found.append(outcome)
+    assert found == ["UNKNOWN", "CREATED", "EXISTS", "STARTED", "STOPPED", "REFUSED", "STOPPED", "STARTED", "PURGE", "UNKNOWN", "CREATED"]
